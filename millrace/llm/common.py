@@ -81,13 +81,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def text_chunks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20, max_rows: int = 1024) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts hold about ``max_bytes`` bytes each (a longer text stands alone)."""
     offs = text_offsets(batch.column(column))
     i, n = 0, len(offs) - 1
     while i < n:
         j = int(np.searchsorted(offs, offs[i] + max_bytes, side="right")) - 1
-        j = min(n, max(j, i + 1))
+        j = min(n, i + max_rows, max(j, i + 1))
         yield i, j
         i = j
 

@@ -6,19 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe
+from millrace.llm import bpe, langid, quality
 from millrace.llm.common import read_table
 
 #: Folder of the public vocabulary files; never part of this repository.
 TOKENIZER_DIR = "/opt/tokenizers"
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def _register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
 
+@_register
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and the decoded text of every document."""
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), f"{TOKENIZER_DIR}/word_bpe_49k.json", keep_ids=False, keep_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_bpe": op1_bpe,
-}
-SQL: dict[str, str] = {}
+@_register
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document, by a factorisation machine learned from ``labels``."""
+    documents = read_table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.fit(documents, read_table(spark, sf_dir, "labels")))
+
+
+@_register
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, by nearest centroid."""
+    documents = read_table(spark, sf_dir, "documents")
+    return langid.predict(documents, langid.fit(documents))
