@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, langid, quality
+from millrace.llm import bpe, langid, mixing, quality
 from millrace.llm.common import read_table
 
 #: Folder of the public vocabulary files; never part of this repository.
@@ -39,3 +39,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, by nearest centroid."""
     documents = read_table(spark, sf_dir, "documents")
     return langid.predict(documents, langid.fit(documents))
+
+
+@_register
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150 % of all sizes takes of every document; sources weigh 3, 1, 2, repeating."""
+    documents, weight = mixing.label_weight(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), read_table(spark, sf_dir, "labels"))
+    return mixing.mix(documents, quality=weight).select("doc_id", "size", "source_size", "target", "taken", "epochs", "partial")
