@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, langid, mixing, quality
+from millrace.llm import ann, bpe, embed_dedup, langid, mixing, quality
 from millrace.llm.common import read_table
 
 #: Folder of the public vocabulary files; never part of this repository.
@@ -46,3 +47,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % of all sizes takes of every document; sources weigh 3, 1, 2, repeating."""
     documents, weight = mixing.label_weight(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), read_table(spark, sf_dir, "labels"))
     return mixing.mix(documents, quality=weight).select("doc_id", "size", "source_size", "target", "taken", "epochs", "partial")
+
+
+@_register
+def op7_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9 or more."""
+    return embed_dedup.link_vectors(read_table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@_register
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all other vectors for each vector whose id is divisible by 50."""
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
