@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, embed_dedup, langid, mixing, quality
+from millrace.llm import ann, bpe, embed_dedup, jaccard, langid, mixing, quality
 from millrace.llm.common import read_table
 
 #: Folder of the public vocabulary files; never part of this repository.
@@ -59,3 +59,9 @@ def op7_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of all other vectors for each vector whose id is divisible by 50."""
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@_register
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard 0.75 or more over five-word shingles."""
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
