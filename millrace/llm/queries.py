@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, embed_dedup, jaccard, langid, mixing, quality
+from millrace.llm import ann, bpe, embed_dedup, jaccard, langid, mixing, quality, substring
 from millrace.llm.common import read_table
 
 #: Folder of the public vocabulary files; never part of this repository.
@@ -65,3 +65,9 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under Jaccard 0.75 or more over five-word shingles."""
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of 35 words repeated anywhere cover, and what is left."""
+    return substring.remove_repeats(read_table(spark, sf_dir, "documents"), 35, keep_text=False)
