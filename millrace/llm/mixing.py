@@ -107,12 +107,13 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
     )
 
 
-def apply(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix as documents: each taken document once per epoch, the one taken in part as its first words."""
+def apply(mixed: DataFrame, row: str) -> DataFrame:
+    """The mix as documents: the struct column ``row`` of each taken document once per epoch, then once more with its
+    first words as ``text`` if it is taken in part."""
     first = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("partial").cast("int")), " ")
     copies = F.concat(F.array_repeat(F.lit(True), F.col("epochs").cast("int")), F.array_repeat(F.lit(False), (F.col("partial") > 0).cast("int")))
     out = mixed.where(F.col("taken") > 0).withColumn("__whole", F.explode(copies))
-    return out.withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(first)).select(*columns)
+    return out.select(F.when(F.col("__whole"), F.col(row)).otherwise(F.col(row).withField("text", first)).alias("row")).select("row.*")
 
 
 def label_weight(df: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:

@@ -208,3 +208,20 @@ def score(df: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "do
 
     scored = df.select(*_inputs(df, id_col, text_col)).mapInArrow(run, schema)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(df: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns as they were, whose text scores ``threshold`` or more."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    rows = df.select(*_inputs(df, text_col, text_col)[1:], F.struct(*[df[c] for c in df.columns]).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for i, j in text_chunks(batch, "text"):
+                part = batch.slice(i, j - i)
+                r, idx, val = features(part.column("text"), part.column("n_chars").to_numpy(zero_copy_only=False))
+                good = m.score(r, idx, val, j - i) >= threshold
+                yield pa.RecordBatch.from_arrays([part.column("row").filter(pa.array(good))], names=["row"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, embed_dedup, jaccard, langid, mixing, quality, substring
+from millrace.llm import ann, bpe, embed_dedup, jaccard, langid, licenses, mixing, pii, quality, substring
 from millrace.llm.common import read_table
 
 #: Folder of the public vocabulary files; never part of this repository.
@@ -71,3 +71,19 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that windows of 35 words repeated anywhere cover, and what is left."""
     return substring.remove_repeats(read_table(spark, sf_dir, "documents"), 35, keep_text=False)
+
+
+@_register
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document."""
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op3_licenses"] = licenses.scan_sql()
+
+
+@_register
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates for its personal data and secrets."""
+    found = pii.replace_pii(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.size("entities").cast("long").alias("n_entities"), F.transform("entities", lambda e: e["type"]).alias("types"), "n_clashes", "text")
