@@ -60,12 +60,14 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
     taken, repeats counted), ``epochs`` (complete copies) and ``partial`` (words of one more copy, at most one document
     of a source), then the columns of ``keep``.
 
+    A column ``size`` is taken for the words where there is one, else they are counted in ``text``.
     ``quality`` is a positive weight (null or less than 0.01: 0.01). Null and empty texts have size 0 and are taken 0
     times; null sources are a source of their own, last in order; repeated rows are documents of their own; sources
     without words have target 0; an empty table gives an empty table. Reruns agree: draws are hashes of ids.
     """
     weight = F.greatest(F.coalesce(quality if quality is not None else F.lit(1.0), F.lit(0.01)).cast("double"), F.lit(0.01))
-    docs = df.withColumns({"__size": n_words("text"), "__draw": -F.log(uniform("doc_id", seed)) / weight})
+    size = F.col("size") if "size" in df.columns else n_words("text")
+    docs = df.withColumns({"__size": size, "__draw": -F.log(uniform("doc_id", seed)) / weight})
     docs = docs.select("doc_id", "source", *keep, F.col("__size").alias("size"), F.col("__draw").alias("__key"), F.floor((1 - F.exp(-F.col("__draw"))) * SLICES).cast("int").alias("__slice"))
 
     slices = cut(docs.groupBy("source", "__slice").agg(F.sum("size").alias("__sum")))
@@ -117,7 +119,8 @@ def apply(mixed: DataFrame, row: str) -> DataFrame:
 
 
 def label_weight(df: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
-    """Documents with a quality weight from labels: 1 if labelled good, 0.25 if labelled bad, 0.75 unlabelled."""
+    """Documents with a quality weight from labels: 1 if labelled good, 0.25 if labelled bad, 0.75 unlabelled. Words are
+    counted before the join, so that only what a step needs of the documents is shuffled."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__labelled")).agg(F.max("quality").alias("__quality"))
-    joined = df.join(known, F.col("doc_id") == F.col("__labelled"), "left")
+    joined = df.join(known.hint("merge"), F.col("doc_id") == F.col("__labelled"), "left")
     return joined, F.when(F.col("__quality").isNull(), 0.75).when(F.col("__quality") > 0, 1.0).otherwise(0.25)

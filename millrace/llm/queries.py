@@ -45,7 +45,8 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % of all sizes takes of every document; sources weigh 3, 1, 2, repeating."""
-    documents, weight = mixing.label_weight(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), read_table(spark, sf_dir, "labels"))
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words().alias("size"))
+    documents, weight = mixing.label_weight(documents, read_table(spark, sf_dir, "labels"))
     return mixing.mix(documents, quality=weight).select("doc_id", "size", "source_size", "target", "taken", "epochs", "partial")
 
 
