@@ -47,7 +47,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents once for each time that it takes them, the last of a source cut where its budget ends."""
-    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
+    whole = docs.select("doc_id", "source", "text", mixing.n_words().alias("size"), F.struct(*docs.columns).alias("row"))
     weighted, weight = mixing.label_weight(whole, read_table(spark, sf_dir, "labels"))
     return mixing.apply(mixing.mix(weighted, quality=weight, keep=("text", "row")), "row").select(docs.columns)
 
