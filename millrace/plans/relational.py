@@ -50,7 +50,7 @@ def q04_priority_pairs(spark, sf_dir):
     return orders.join(lines, (F.col("o_orderkey") == F.col("l_orderkey")) & late).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q09_profit", """SELECT n_name, year(o_orderdate) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - 0.1 * p_retailprice * l_quantity), 2) AS profit
+@query("q09_profit", """SELECT n_name, year(o_orderdate) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - 0.1 * p_retailprice * l_quantity), 4) AS profit
        FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey
        JOIN nation ON n_nationkey = s_nationkey WHERE p_name LIKE '%red%' GROUP BY n_name, year(o_orderdate)""")
 def q09_profit(spark, sf_dir):
@@ -61,10 +61,10 @@ def q09_profit(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("o_year"))
     joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     amount = F.col("price") - F.lit(0.1) * F.col("p_retailprice") * F.col("l_quantity")
-    return joined.groupBy("n_name", "o_year").agg(F.round(F.sum(amount), 2).alias("profit"))
+    return joined.groupBy("n_name", "o_year").agg(F.round(F.sum(amount), 4).alias("profit"))
 
 
-@query("q10_returns", """SELECT c_custkey, c_name, c_acctbal, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+@query("q10_returns", """SELECT c_custkey, c_name, c_acctbal, n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
        FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = c_nationkey
        WHERE year(o_orderdate) > 1996 AND l_returnflag = 'R' GROUP BY c_custkey, c_name, c_acctbal, n_name""")
 def q10_returns(spark, sf_dir):
@@ -73,7 +73,7 @@ def q10_returns(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("price"))
     sums = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.sum("price").alias("revenue"))
     customers = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    return customers.join(sums, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name", "c_acctbal", "n_name", F.round("revenue", 2).alias("revenue"))
+    return customers.join(sums, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name", "c_acctbal", "n_name", F.round("revenue", 4).alias("revenue"))
 
 
 @query("weblog", """SELECT d.doc_id, d.source, d.n_chars FROM documents d JOIN labels q ON d.doc_id = q.doc_id AND q.quality = 1
