@@ -5,6 +5,6 @@ from millrace.plans import catalog
 
 def all_queries():
     """(queries, SQL) of every module of the catalogue."""
-    from millrace.plans import analytics, columns, graphs, operators, relational  # noqa: F401
+    from millrace.plans import analytics, columns, graphs, io, operators, relational  # noqa: F401
 
     return catalog.QUERIES, catalog.SQL
