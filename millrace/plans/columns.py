@@ -12,69 +12,77 @@ from millrace.plans.catalog import query
 from millrace.sources.tables import table
 
 
-def _select(name, source, sql, *columns, where=None):
-    """Register a projection of one table, optionally filtered."""
+def _select(name, source, sql, columns, where=None):
+    """Register a projection of one table, optionally filtered; columns and filter are made when the query runs."""
 
     def run(spark, sf_dir):
         df = table(spark, sf_dir, source)
         if where is not None:
-            df = df.where(where)
-        return df.select(*columns)
+            df = df.where(where())
+        return df.select(*columns())
 
     run.__name__ = name
     return query(name, sql)(run)
 
 
 c = F.col
-_select("filter_equal", "orders", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'", "o_orderkey", where=c("o_orderstatus") == "F")
-_select("filter_prefix", "orders", "SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%'", "o_orderkey", where=c("o_orderpriority").startswith("1"))
-_select("filter_year_after", "orders", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) > 1999", "o_orderkey", where=F.year("o_orderdate") > 1999)
-_select("filter_year_equal", "orders", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1998", "o_orderkey", where=F.year("o_orderdate") == 1998)
-_select("filter_keywords", "documents", "SELECT doc_id FROM documents WHERE text LIKE '% the %' AND text LIKE '% of %' AND text LIKE '% and %'", "doc_id", where=reduce(lambda a, b: a & b, [c("text").contains(w) for w in (" the ", " of ", " and ")]))
-_select("filter_number", "part", "SELECT p_partkey FROM part WHERE p_size > 25", "p_partkey", where=c("p_size") > 25)
-_select("filter_date_before", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-06-01'", "l_orderkey", "l_linenumber", where=c("l_shipdate") < F.to_timestamp(F.lit("1996-06-01")))
-_select("filter_open_interval", "orders", "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-04-01'", "o_orderkey", where=(c("o_orderdate") > F.to_timestamp(F.lit("1997-01-01"))) & (c("o_orderdate") < F.add_months(F.to_timestamp(F.lit("1997-01-01")), 3)))
-_select("filter_columns", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount < l_tax", "l_orderkey", "l_linenumber", where=c("l_discount") < c("l_tax"))
-_select("filter_flag", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'", "l_orderkey", "l_linenumber", where=c("l_returnflag") == "R")
-_select("filter_contains", "part", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%red%'", "p_partkey", "p_name", where=c("p_name").contains("red"))
-_select("filter_arithmetic", "supplier", "SELECT s_nationkey AS k, s_suppkey AS v FROM supplier WHERE s_suppkey + s_nationkey < 30", c("s_nationkey").alias("k"), c("s_suppkey").alias("v"), where=c("s_suppkey") + c("s_nationkey") < 30)
-_select("filter_regex", "documents", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{4}')", "doc_id", where=c("text").rlike("[0-9]{4}"))
-_select("project_computed", "lineitem", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS price FROM lineitem", "l_orderkey", "l_linenumber", F.round(c("l_extendedprice") * (1 - c("l_discount")), 4).alias("price"))
-_select("project_nulled", "customer", "SELECT c_custkey, CAST(NULL AS VARCHAR) AS c_name, c_nationkey FROM customer", "c_custkey", F.lit(None).cast("string").alias("c_name"), "c_nationkey")
-_select("project_mask", "nation", "SELECT n_nationkey, n_regionkey FROM nation", *[n for n, keep in zip(("n_nationkey", "n_name", "n_regionkey"), (1, 0, 1)) if keep])
-_select("project_canonical", "supplier", "SELECT s_suppkey, least(s_suppkey, s_nationkey) AS a, greatest(s_suppkey, s_nationkey) AS b FROM supplier", "s_suppkey", F.least("s_suppkey", c("s_nationkey").cast("long")).alias("a"), F.greatest("s_suppkey", c("s_nationkey").cast("long")).alias("b"))
-
-_select("fn_substring", "part", "SELECT p_partkey, substr(p_name, 3, 4) AS s, substr(p_name, 3) AS rest FROM part", "p_partkey", fn.substring(c("p_name"), 2, 6).alias("s"), fn.substring(c("p_name"), 2).alias("rest"))
-_select("fn_find", "part", "SELECT p_partkey, CAST(instr(p_name, 'e') - 1 AS INTEGER) AS at FROM part", "p_partkey", fn.find(c("p_name"), "e").alias("at"))
-_select("fn_starts_with", "part", "SELECT p_partkey, substr(p_name, 2, 2) = 're' AS hit FROM part", "p_partkey", fn.starts_with(c("p_name"), "re", 1).alias("hit"))
-_select("fn_length", "part", "SELECT p_partkey, CAST(length(p_name) AS INTEGER) AS n, substr(p_name, 2, 1) AS ch FROM part", "p_partkey", F.length("p_name").alias("n"), fn.char_at(c("p_name"), 1).alias("ch"))
-_select("fn_decode", "part", "SELECT p_partkey, p_name AS ascii_text, p_name AS utf8_text FROM part", "p_partkey", fn.decode_ascii(F.encode("p_name", "US-ASCII")).alias("ascii_text"), fn.decode_utf8(F.encode("p_name", "UTF-8")).alias("utf8_text"))
-_select("fn_lower", "customer", "SELECT c_custkey, lower(c_name) AS s FROM customer", "c_custkey", fn.to_lower(c("c_name")).alias("s"))
-_select("fn_replace_non_word", "documents", r"SELECT doc_id, md5(regexp_replace(text, '[^\p{L}\p{Nd}_]', ' ', 'g')) AS s FROM documents", "doc_id", F.md5(fn.replace_non_word(c("text"))).alias("s"))
-_select("fn_tokenize", "part", r"SELECT p_partkey, len(list_filter(string_split_regex(p_name, '\s+'), lambda w: w <> '')) AS n FROM part", "p_partkey", F.size(fn.tokenize(c("p_name"))).cast("long").alias("n"))
-_select("fn_split_line", "customer", "SELECT c_custkey, string_split(c_name, '#')[1] AS head, CAST(len(string_split(c_name, '#')) AS BIGINT) AS n FROM customer", "c_custkey", F.get(fn.split_line(c("c_name"), "#"), F.lit(0)).alias("head"), F.size(fn.split_line(c("c_name"), "#")).cast("long").alias("n"))
-_select("fn_map_lookup", "supplier", "SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS v, CAST(NULL AS VARCHAR) AS none FROM supplier", "s_suppkey", fn.map_lookup(F.concat(F.lit("k="), c("s_suppkey"), F.lit(",n="), c("s_nationkey")), "n").alias("v"), fn.map_lookup(F.concat(F.lit("k="), c("s_suppkey")), "x").alias("none"))
-_VEC = F.array(c("l_quantity"), c("l_discount"), c("l_tax"))
-_select("fn_euclidean", "lineitem", "SELECT l_orderkey, l_linenumber, round(sqrt((l_quantity - 1) * (l_quantity - 1) + l_discount * l_discount + l_tax * l_tax), 6) AS d FROM lineitem", "l_orderkey", "l_linenumber", F.round(fn.euclidean(_VEC, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))), 6).alias("d"))
-_select("fn_vector_add", "lineitem", "SELECT l_orderkey, l_linenumber, round(l_quantity + 1, 6) AS x FROM lineitem", "l_orderkey", "l_linenumber", F.round(F.get(fn.vector_add(_VEC, F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))), F.lit(0)), 6).alias("x"))
-_WORDS = F.split("p_name", " ")
+_select("filter_equal", "orders", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'", lambda: ["o_orderkey"], where=lambda: c("o_orderstatus") == "F")
+_select("filter_prefix", "orders", "SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%'", lambda: ["o_orderkey"], where=lambda: c("o_orderpriority").startswith("1"))
+_select("filter_year_after", "orders", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) > 1999", lambda: ["o_orderkey"], where=lambda: F.year("o_orderdate") > 1999)
+_select("filter_year_equal", "orders", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1998", lambda: ["o_orderkey"], where=lambda: F.year("o_orderdate") == 1998)
+_select("filter_keywords", "documents", "SELECT doc_id FROM documents WHERE text LIKE '% the %' AND text LIKE '% of %' AND text LIKE '% and %'", lambda: ["doc_id"], where=lambda: reduce(lambda a, b: a & b, [c("text").contains(w) for w in (" the ", " of ", " and ")]))
+_select("filter_number", "part", "SELECT p_partkey FROM part WHERE p_size > 25", lambda: ["p_partkey"], where=lambda: c("p_size") > 25)
+_select("filter_date_before", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-06-01'", lambda: ["l_orderkey", "l_linenumber"], where=lambda: c("l_shipdate") < F.to_timestamp(F.lit("1996-06-01")))
+_select("filter_open_interval", "orders", "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-04-01'", lambda: ["o_orderkey"], where=lambda: (c("o_orderdate") > F.to_timestamp(F.lit("1997-01-01"))) & (c("o_orderdate") < F.add_months(F.to_timestamp(F.lit("1997-01-01")), 3)))
+_select("filter_columns", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount < l_tax", lambda: ["l_orderkey", "l_linenumber"], where=lambda: c("l_discount") < c("l_tax"))
+_select("filter_flag", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'", lambda: ["l_orderkey", "l_linenumber"], where=lambda: c("l_returnflag") == "R")
+_select("filter_contains", "part", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%red%'", lambda: ["p_partkey", "p_name"], where=lambda: c("p_name").contains("red"))
+_select("filter_arithmetic", "supplier", "SELECT s_nationkey AS k, s_suppkey AS v FROM supplier WHERE s_suppkey + s_nationkey < 30", lambda: [c("s_nationkey").alias("k"), c("s_suppkey").alias("v")], where=lambda: c("s_suppkey") + c("s_nationkey") < 30)
+_select("filter_regex", "documents", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{4}')", lambda: ["doc_id"], where=lambda: c("text").rlike("[0-9]{4}"))
+_select("project_computed", "lineitem", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS price FROM lineitem", lambda: ["l_orderkey", "l_linenumber", F.round(c("l_extendedprice") * (1 - c("l_discount")), 4).alias("price")])
+_select("project_nulled", "customer", "SELECT c_custkey, CAST(NULL AS VARCHAR) AS c_name, c_nationkey FROM customer", lambda: ["c_custkey", F.lit(None).cast("string").alias("c_name"), "c_nationkey"])
+_select("project_mask", "nation", "SELECT n_nationkey, n_regionkey FROM nation", lambda: [*[n for n, keep in zip(("n_nationkey", "n_name", "n_regionkey"), (1, 0, 1)) if keep]])
+_select("project_canonical", "supplier", "SELECT s_suppkey, least(s_suppkey, s_nationkey) AS a, greatest(s_suppkey, s_nationkey) AS b FROM supplier", lambda: ["s_suppkey", F.least("s_suppkey", c("s_nationkey").cast("long")).alias("a"), F.greatest("s_suppkey", c("s_nationkey").cast("long")).alias("b")])
+
+_select("fn_substring", "part", "SELECT p_partkey, substr(p_name, 3, 4) AS s, substr(p_name, 3) AS rest FROM part", lambda: ["p_partkey", fn.substring(c("p_name"), 2, 6).alias("s"), fn.substring(c("p_name"), 2).alias("rest")])
+_select("fn_find", "part", "SELECT p_partkey, CAST(instr(p_name, 'e') - 1 AS INTEGER) AS at FROM part", lambda: ["p_partkey", fn.find(c("p_name"), "e").alias("at")])
+_select("fn_starts_with", "part", "SELECT p_partkey, substr(p_name, 2, 2) = 're' AS hit FROM part", lambda: ["p_partkey", fn.starts_with(c("p_name"), "re", 1).alias("hit")])
+_select("fn_length", "part", "SELECT p_partkey, CAST(length(p_name) AS INTEGER) AS n, substr(p_name, 2, 1) AS ch FROM part", lambda: ["p_partkey", F.length("p_name").alias("n"), fn.char_at(c("p_name"), 1).alias("ch")])
+_select("fn_decode", "part", "SELECT p_partkey, p_name AS ascii_text, p_name AS utf8_text FROM part", lambda: ["p_partkey", fn.decode_ascii(F.encode("p_name", "US-ASCII")).alias("ascii_text"), fn.decode_utf8(F.encode("p_name", "UTF-8")).alias("utf8_text")])
+_select("fn_lower", "customer", "SELECT c_custkey, lower(c_name) AS s FROM customer", lambda: ["c_custkey", fn.to_lower(c("c_name")).alias("s")])
+_select("fn_replace_non_word", "documents", r"SELECT doc_id, md5(regexp_replace(text, '[^\p{L}\p{Nd}_]', ' ', 'g')) AS s FROM documents", lambda: ["doc_id", F.md5(fn.replace_non_word(c("text"))).alias("s")])
+_select("fn_tokenize", "part", r"SELECT p_partkey, len(list_filter(string_split_regex(p_name, '\s+'), lambda w: w <> '')) AS n FROM part", lambda: ["p_partkey", F.size(fn.tokenize(c("p_name"))).cast("long").alias("n")])
+_select("fn_split_line", "customer", "SELECT c_custkey, string_split(c_name, '#')[1] AS head, CAST(len(string_split(c_name, '#')) AS BIGINT) AS n FROM customer", lambda: ["c_custkey", F.get(fn.split_line(c("c_name"), "#"), F.lit(0)).alias("head"), F.size(fn.split_line(c("c_name"), "#")).cast("long").alias("n")])
+_select("fn_map_lookup", "supplier", "SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS v, CAST(NULL AS VARCHAR) AS none FROM supplier", lambda: ["s_suppkey", fn.map_lookup(F.concat(F.lit("k="), c("s_suppkey"), F.lit(",n="), c("s_nationkey")), "n").alias("v"), fn.map_lookup(F.concat(F.lit("k="), c("s_suppkey")), "x").alias("none")])
+def _vec():
+    return F.array(c("l_quantity"), c("l_discount"), c("l_tax"))
+
+
+_select("fn_euclidean", "lineitem", "SELECT l_orderkey, l_linenumber, round(sqrt((l_quantity - 1) * (l_quantity - 1) + l_discount * l_discount + l_tax * l_tax), 6) AS d FROM lineitem", lambda: ["l_orderkey", "l_linenumber", F.round(fn.euclidean(_vec(), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))), 6).alias("d")])
+_select("fn_vector_add", "lineitem", "SELECT l_orderkey, l_linenumber, round(l_quantity + 1, 6) AS x FROM lineitem", lambda: ["l_orderkey", "l_linenumber", F.round(F.get(fn.vector_add(_vec(), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))), F.lit(0)), 6).alias("x")])
+def _words():
+    return F.split("p_name", " ")
+
+
 _W = "string_split(p_name, ' ')"
-_select("fn_list", "part", f"SELECT p_partkey, CAST(len(list_append({_W}, 'x')) AS BIGINT) AS n, {_W}[1] AS first, list_contains({_W}, 'red') AS red, CAST(coalesce(list_position({_W}, 'red'), 0) - 1 AS BIGINT) AS at, array_to_string({_W}[1:1], ' ') AS sub, array_to_string(list_filter({_W}, lambda w: w <> 'red'), ' ') AS others FROM part",
-        "p_partkey", F.size(F.array_append(_WORDS, "x")).cast("long").alias("n"), F.get(_WORDS, F.lit(0)).alias("first"), F.array_contains(_WORDS, "red").alias("red"), fn.index_of(_WORDS, "red").alias("at"), F.array_join(fn.sublist(_WORDS, 0, 1), " ").alias("sub"), F.array_join(F.array_remove(_WORDS, "red"), " ").alias("others"))
-_select("fn_list_sets", "part", f"SELECT p_partkey, array_to_string(list_filter({_W}, lambda w: w IN ('red', 'blue')), ' ') AS kept, array_to_string(list_filter({_W}, lambda w: w NOT IN ('red', 'blue')), ' ') AS rest FROM part",
-        "p_partkey", F.array_join(fn.retain_all(_WORDS, F.array(F.lit("red"), F.lit("blue"))), " ").alias("kept"), F.array_join(fn.remove_all(_WORDS, F.array(F.lit("red"), F.lit("blue"))), " ").alias("rest"))
-_MAP = F.create_map(F.lit("k"), c("s_suppkey").cast("string"), F.lit("n"), c("s_nationkey").cast("string"))
-_select("fn_map", "supplier", "SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS n, true AS has_k, CAST(3 AS BIGINT) AS size_put, CAST(1 AS BIGINT) AS size_removed, s_nationkey = 7 OR s_suppkey = 7 AS has_seven, 'k,n' AS keys FROM supplier",
-        "s_suppkey", F.element_at(_MAP, "n").alias("n"), F.map_contains_key(_MAP, "k").alias("has_k"), F.size(fn.map_put(_MAP, "x", "1")).cast("long").alias("size_put"), F.size(fn.map_remove(_MAP, "k")).cast("long").alias("size_removed"), fn.contains_value(_MAP, "7").alias("has_seven"), F.array_join(F.array_sort(F.map_keys(_MAP)), ",").alias("keys"))
-_PAIR = F.struct(c("c_nationkey").alias("first"), c("c_mktsegment").alias("second"))
-_select("fn_pair", "customer", "SELECT c_custkey, c_nationkey AS first, c_mktsegment AS second FROM customer", "c_custkey", _PAIR["first"].alias("first"), _PAIR["second"].alias("second"))
-_select("fn_json", "events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", "event_id", fn.json_get(c("props"), "$.k").cast("long").alias("k"))
-_select("fn_json_set", "events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS t FROM events", "event_id", fn.json_get(fn.json_set(c("props"), "t", c("event_type")), "$.k").cast("long").alias("k"), fn.json_get(fn.json_set(c("props"), "t", c("event_type")), "$.t").alias("t"))
-_select("fn_json_variant", "events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", "event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
-_select("fn_number_text", "supplier", "SELECT s_suppkey, CAST(s_suppkey AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS bad, s_suppkey + 0.5 AS comma FROM supplier", "s_suppkey", fn.parse_number(c("s_suppkey").cast("string")).alias("n"), fn.parse_number(F.concat(F.lit("x"), c("s_suppkey"))).alias("bad"), fn.parse_number(F.concat(c("s_suppkey"), F.lit(",5")), decimal=",").alias("comma"))
-_select("fn_format", "supplier", "SELECT s_suppkey, printf('%.1f', s_suppkey * 1.0) AS s FROM supplier", "s_suppkey", fn.format_number(c("s_suppkey").cast("double"), "%.1f").alias("s"))
-_select("fn_dates", "orders", "SELECT o_orderkey, year(o_orderdate) AS y, strftime(o_orderdate + INTERVAL 3 MONTH, '%Y-%m-%d') AS later, strftime(CAST('1997-' || lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') || '-01' AS DATE), '%Y-%m-%d') AS parsed FROM orders",
-        "o_orderkey", F.year("o_orderdate").cast("long").alias("y"), F.date_format(F.add_months("o_orderdate", 3), "yyyy-MM-dd").alias("later"), F.date_format(F.to_date(F.format_string("1997-%02d-01", F.month("o_orderdate"))), "yyyy-MM-dd").alias("parsed"))
+_select("fn_list", "part", f"SELECT p_partkey, CAST(len(list_append({_W}, 'x')) AS BIGINT) AS n, {_W}[1] AS first, list_contains({_W}, 'red') AS red, CAST(coalesce(list_position({_W}, 'red'), 0) - 1 AS BIGINT) AS at, array_to_string({_W}[1:1], ' ') AS sub, array_to_string(list_filter({_W}, lambda w: w <> 'red'), ' ') AS others FROM part", lambda: ["p_partkey", F.size(F.array_append(_words(), "x")).cast("long").alias("n"), F.get(_words(), F.lit(0)).alias("first"), F.array_contains(_words(), "red").alias("red"), fn.index_of(_words(), "red").alias("at"), F.array_join(fn.sublist(_words(), 0, 1), " ").alias("sub"), F.array_join(F.array_remove(_words(), "red"), " ").alias("others")])
+_select("fn_list_sets", "part", f"SELECT p_partkey, array_to_string(list_filter({_W}, lambda w: w IN ('red', 'blue')), ' ') AS kept, array_to_string(list_filter({_W}, lambda w: w NOT IN ('red', 'blue')), ' ') AS rest FROM part", lambda: ["p_partkey", F.array_join(fn.retain_all(_words(), F.array(F.lit("red"), F.lit("blue"))), " ").alias("kept"), F.array_join(fn.remove_all(_words(), F.array(F.lit("red"), F.lit("blue"))), " ").alias("rest")])
+def _map():
+    return F.create_map(F.lit("k"), c("s_suppkey").cast("string"), F.lit("n"), c("s_nationkey").cast("string"))
+
+
+_select("fn_map", "supplier", "SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS n, true AS has_k, CAST(3 AS BIGINT) AS size_put, CAST(1 AS BIGINT) AS size_removed, s_nationkey = 7 OR s_suppkey = 7 AS has_seven, 'k,n' AS keys FROM supplier", lambda: ["s_suppkey", F.element_at(_map(), "n").alias("n"), F.map_contains_key(_map(), "k").alias("has_k"), F.size(fn.map_put(_map(), "x", "1")).cast("long").alias("size_put"), F.size(fn.map_remove(_map(), "k")).cast("long").alias("size_removed"), fn.contains_value(_map(), "7").alias("has_seven"), F.array_join(F.array_sort(F.map_keys(_map())), ",").alias("keys")])
+def _pair():
+    return F.struct(c("c_nationkey").alias("first"), c("c_mktsegment").alias("second"))
+
+
+_select("fn_pair", "customer", "SELECT c_custkey, c_nationkey AS first, c_mktsegment AS second FROM customer", lambda: ["c_custkey", _pair()["first"].alias("first"), _pair()["second"].alias("second")])
+_select("fn_json", "events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", lambda: ["event_id", fn.json_get(c("props"), "$.k").cast("long").alias("k")])
+_select("fn_json_set", "events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS t FROM events", lambda: ["event_id", fn.json_get(fn.json_set(c("props"), "t", c("event_type")), "$.k").cast("long").alias("k"), fn.json_get(fn.json_set(c("props"), "t", c("event_type")), "$.t").alias("t")])
+_select("fn_json_variant", "events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", lambda: ["event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k")])
+_select("fn_number_text", "supplier", "SELECT s_suppkey, CAST(s_suppkey AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS bad, s_suppkey + 0.5 AS comma FROM supplier", lambda: ["s_suppkey", fn.parse_number(c("s_suppkey").cast("string")).alias("n"), fn.parse_number(F.concat(F.lit("x"), c("s_suppkey"))).alias("bad"), fn.parse_number(F.concat(c("s_suppkey"), F.lit(",5")), decimal=",").alias("comma")])
+_select("fn_format", "supplier", "SELECT s_suppkey, printf('%.1f', s_suppkey * 1.0) AS s FROM supplier", lambda: ["s_suppkey", fn.format_number(c("s_suppkey").cast("double"), "%.1f").alias("s")])
+_select("fn_dates", "orders", "SELECT o_orderkey, year(o_orderdate) AS y, strftime(o_orderdate + INTERVAL 3 MONTH, '%Y-%m-%d') AS later, strftime(CAST('1997-' || lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') || '-01' AS DATE), '%Y-%m-%d') AS parsed FROM orders", lambda: ["o_orderkey", F.year("o_orderdate").cast("long").alias("y"), F.date_format(F.add_months("o_orderdate", 3), "yyyy-MM-dd").alias("later"), F.date_format(F.to_date(F.format_string("1997-%02d-01", F.month("o_orderdate"))), "yyyy-MM-dd").alias("parsed")])
 
 
 @query("agg_sum", "SELECT l_suppkey, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_suppkey")

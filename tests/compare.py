@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -17,7 +18,7 @@ def engine(sf_dir):
 
 
 def value(x):
-    if x is None or isinstance(x, float) and math.isnan(x):
+    if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and math.isnan(x):
         return None
     if hasattr(x, "item"):
         x = x.item()
@@ -27,4 +28,4 @@ def value(x):
 def rows(df):
     columns = sorted(df.columns)
     plain = df[columns].astype(object)
-    return columns, sorted((tuple(value(None if x != x else x) for x in r) for r in plain.itertuples(index=False, name=None)), key=str)
+    return columns, sorted((tuple(value(x) for x in r) for r in plain.itertuples(index=False, name=None)), key=str)
