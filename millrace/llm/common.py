@@ -6,9 +6,10 @@ Text operators look at a document as UTF-8 bytes in Arrow buffers: words are run
 
 from __future__ import annotations
 
+import atexit
+import gc
 import shutil
 import tempfile
-import atexit
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +73,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps whose results were cut off and that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, U64, as_long, cut, gram_hashes, mix, shuffle_partitions, text_bytes, text_chunks, word_hashes, word_spans
+from millrace.llm.common import LOWER, U64, as_long, cut, gram_hashes, mix, release, shuffle_partitions, text_bytes, text_chunks, word_hashes, word_spans
 from millrace.llm.components import components
 
 WORDS = 5
@@ -45,8 +45,12 @@ BUCKET_SHINGLES = 1_500_000
 PIVOTS = 8
 PIVOT_SHINGLES = 2_000_000
 PIVOT_ROUNDS = 1
+#: Cells per document over which pivots don't cut a region.
+MAX_SPREAD = 3
 #: Entries of the table of frequent shingles (8 bytes each). The table only orders shingles; any table gives the same links.
 FREQUENT = 1 << 20
+#: Documents from which a shingle is frequent.
+FREQUENT_FROM = 16
 #: Shingles gathered before a task merges equal ones.
 GATHER = 1_000_000
 SLACK = 1e-9
@@ -82,6 +86,12 @@ def set_ids(owner: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(U64))
 
 
+def order_keys(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The bucket of each shingle, by the range of its hash, over the hash's low 32 bits."""
+    bucket = (h >> U64(32)) * U64(n_buckets) >> U64(32)
+    return (bucket << U64(32)) | (h & U64(0xFFFFFFFF))
+
+
 def reach(n: np.ndarray, percent: int) -> np.ndarray:
     """Into how many of its shingles' regions a set of n shingles is replicated."""
     return np.minimum(n, n - -(-percent * n // 100) + -(-EXTRA * n // 100))
@@ -200,17 +210,23 @@ class JaccardJoin:
 
         return self.docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long")
 
-    def frequent(self, n_docs: int) -> np.ndarray:
-        """Frequent shingles, the most frequent first to stay: those found twice or more in a task's gathered documents
-        and in one of 5000 documents altogether. They are ordered behind all others."""
+    def frequent(self, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Frequent shingles: their keys (see ``order_keys``), sorted, and the place of each by rising frequency. They are ordered
+        by frequency behind all others. All shingles of all documents are counted, under 32 bits of their hash within their
+        bucket; two that share a key are merely ordered together."""
         words = self.words
 
-        def run(batches):
+        def gather(batches):
             held, n = [], 0
 
             def flush():
                 h, c = np.unique(np.concatenate(held), return_counts=True)
-                return pa.RecordBatch.from_arrays([as_long(h[c > 2]), pa.array(c[c > 2])], names=["h", "c"])
+                key = order_keys(h, n_buckets)
+                bucket, low = (key >> U64(32)).astype(np.int64), key.astype(np.uint32)
+                ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
+                rows = [(b, low[x:y][c[x:y] == 1].tobytes(), low[x:y][c[x:y] > 1].tobytes(), c[x:y][c[x:y] > 1].astype(np.uint32).tobytes()) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:])) if y > x]
+                cols = list(zip(*rows))
+                return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["bucket", "once", "more", "times"])
 
             for batch in batches:
                 for i, j in text_chunks(batch):
@@ -220,14 +236,48 @@ class JaccardJoin:
                     if n > 2 * GATHER:
                         yield flush()
                         held, n = [], 0
-            if held:
+            if n:
                 yield flush()
 
-        counted = self.docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-        counted = counted.where(F.col("c") >= max(PAIR_LIMIT // 4, n_docs // 5000)).orderBy(F.desc("c"), "h").limit(FREQUENT).select("h")
-        return np.sort(counted.toArrow()["h"].to_numpy().view(U64))
+        def count(batches):
+            at, once, more, times = None, [], [], []
+
+            def close():
+                low = np.concatenate([np.frombuffer(x, np.uint32) for x in once + more])
+                c = np.concatenate([np.ones(sum(map(len, once)) // 4, np.int64), *(np.frombuffer(x, np.uint32) for x in times)])
+                order = np.argsort(low, kind="stable")
+                low, c = low[order], c[order].astype(np.int64)
+                new = np.ones(len(low), dtype=bool)
+                new[1:] = low[1:] != low[:-1]
+                start = np.flatnonzero(new)
+                total = np.add.reduceat(c, start)
+                many = total >= FREQUENT_FROM
+                key = (U64(at) << U64(32)) + low[start[many]].astype(U64)
+                return pa.RecordBatch.from_arrays([as_long(key), pa.array(total[many])], names=["key", "c"])
 
-    def replication(self, frequent: np.ndarray, n_buckets: int) -> DataFrame:
+            for batch in batches:
+                cols = [batch.column(x).to_pylist() for x in ("bucket", "once", "more", "times")]
+                for bucket, a, b, c in zip(*cols):
+                    if bucket != at:
+                        if at is not None:
+                            yield close()
+                        at, once, more, times = bucket, [], [], []
+                    once.append(a)
+                    more.append(b)
+                    times.append(c)
+            if at is not None:
+                yield close()
+
+        packed = self.docs.select("text").mapInArrow(gather, "bucket long, once binary, more binary, times binary")
+        counted = packed.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "key long, c long")
+        counted = counted.orderBy(F.desc("c"), "key").limit(FREQUENT).toArrow()
+        key, c = counted["key"].to_numpy().view(U64), counted["c"].to_numpy()
+        order = np.argsort(key)
+        rank = np.empty(len(key), dtype=np.int32)
+        rank[np.lexsort((key, c))] = np.arange(1, len(key) + 1)
+        return key[order], rank[order]
+
+    def replication(self, frequent: tuple[np.ndarray, np.ndarray], n_buckets: int) -> DataFrame:
         """Edges (a, b) between sets that meet in regions of shingles, often enough.
 
         Boundaries reach ``EXTRA`` percent of a set's shingles further than they must, so linked sets meet in that many
@@ -240,7 +290,7 @@ class JaccardJoin:
         names = ["bucket", "h", "doc", "sid", "n", "star"]
 
         def spread(batches):
-            hot = shared.value
+            hot, rank = shared.value
             held, n_held = [], 0
 
             def flush():
@@ -263,7 +313,7 @@ class JaccardJoin:
                 n_of[doc] = n
                 stay = ~star | new
                 h, doc, star = h[stay], doc[stay], star[stay]
-                bucket = ((h >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64)
+                bucket = (order_keys(h, n_buckets) >> U64(32)).astype(np.int64)
                 order = np.lexsort((doc, bucket))
                 h, doc, star, bucket = h[order], doc[order], star[order], bucket[order]
                 cols = [[], [], [], [], [], []]
@@ -284,9 +334,11 @@ class JaccardJoin:
                     if not len(owner):
                         continue
                     sid = set_ids(owner, shingle, len(n)).view(np.int64)
-                    late = np.zeros(len(shingle), dtype=bool)
+                    late = np.zeros(len(shingle), dtype=np.int32)
                     if len(hot):
-                        late = hot[np.minimum(np.searchsorted(hot, shingle), len(hot) - 1)] == shingle
+                        key = order_keys(shingle, n_buckets)
+                        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                        late = np.where(hot[at] == key, rank[at], 0)
                     order = np.lexsort((shingle, late, owner))
                     place = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
                     take = place < reach(n, percent)[owner]
@@ -373,9 +425,12 @@ class JaccardJoin:
         return met.where(F.col("stays") | (F.col("times") >= needed)).select("a", "b")
 
     def members(self, classes: DataFrame, regions: DataFrame) -> DataFrame:
-        """(region, sid, n, shingles) of every class in a region; the sets are read from the least document's text."""
+        """(region, sid, n, shingles, large) of every class in a region; the sets are read from the least document's
+        text. Weights are known before any set is read, so sets are shuffled once, to their region's task."""
         words = self.words
-        wanted = classes.join(regions, F.col("sid") == F.col("node")).select(F.col("rep").alias("doc_id"), F.col("sid").alias("want"), F.col("component").alias("region"))
+        placed = classes.join(regions, F.col("sid") == F.col("node")).select("sid", "rep", "n", F.col("component").alias("region"))
+        weight = placed.groupBy(F.col("region").alias("of")).agg(F.sum("n").alias("w"))
+        wanted = placed.join(weight, F.col("region") == F.col("of")).select(F.col("rep").alias("doc_id"), F.col("sid").alias("want"), "region", (F.col("w") > REGION_SHINGLES).alias("large"))
 
         def run(batches):
             for batch in batches:
@@ -385,36 +440,39 @@ class JaccardJoin:
                     ok = set_ids(owner, shingle, len(n)).view(np.int64) == part.column("want").to_numpy()
                     at = np.append(0, np.cumsum(n))
                     sets = [shingle[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                    out = pa.RecordBatch.from_arrays([part.column("region"), part.column("want"), pa.array(n.astype(np.int64)), pa.array(sets, pa.binary())], names=["region", "sid", "n", "shingles"])
+                    out = pa.RecordBatch.from_arrays([part.column("region"), part.column("want"), pa.array(n.astype(np.int64)), pa.array(sets, pa.binary()), part.column("large")], names=["region", "sid", "n", "shingles", "large"])
                     yield out.filter(pa.array(ok & (n > 0)))
 
-        return self.docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "region long, sid long, n long, shingles binary")
+        read = self.docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "region long, sid long, n long, shingles binary, large boolean")
+        return self._placed(read)
+
+    def _placed(self, members: DataFrame) -> DataFrame:
+        """Written with each region in one partition, sorted; large regions are dealt out over all."""
+        salt = F.when(F.col("large"), F.xxhash64("sid")).otherwise(0)
+        return cut(members.repartition(self.parts, "region", salt).sortWithinPartitions("region", "n", "sid"))
 
     def join_regions(self, members: DataFrame) -> DataFrame:
         """Links (a, b) among the members of each region, enough of them to connect what all links connect."""
-        schema = "a long, b long"
         found = []
         for depth in range(PIVOT_ROUNDS + 1):
-            weight = cut(members.groupBy("region").agg(F.sum("n").alias("w")))
-            large = weight.where(F.col("w") > REGION_SHINGLES)
-            n_large = large.count()
-            small = members if not n_large else members.join(large, "region", "left_anti")
-            found.append(cut(small.repartition(self.parts, "region").sortWithinPartitions("region", "n", "sid").mapInArrow(_join_sorted(self.percent, "region"), schema)))
-            if not n_large:
+            found.append(cut(members.where(~F.col("large")).mapInArrow(_join_sorted(self.percent, "region"), "a long, b long")))
+            members = members.where("large")
+            if members.isEmpty():
                 break
-            members = cut(members.join(large, "region", "left_semi"))
             if depth == PIVOT_ROUNDS:
-                found.append(self._block_pairs(members, large))
+                found.append(self._block_pairs(members))
                 break
             links, members = self._pivot_round(members, depth)
             found += links
+            weight = members.groupBy(F.col("region").alias("of")).agg(F.sum("n").alias("w"))
+            members = self._placed(members.join(weight, F.col("region") == F.col("of")).select("region", "sid", "n", "shingles", (F.col("w") > REGION_SHINGLES).alias("large")))
         out = found[0]
         for f in found[1:]:
             out = out.union(f)
         return out
 
     def _pivot_round(self, members: DataFrame, depth: int) -> tuple[list[DataFrame], DataFrame]:
-        """Cut large regions by pivots, a bounded number of regions at a time."""
+        """Cut large regions by pivots, a bounded number of regions at a time; what they don't cut is joined in blocks."""
         percent = self.percent
         eps = 1 - percent / 100 + SLACK
         names = [r["region"] for r in members.select("region").distinct().orderBy("region").collect()]  # regions of over REGION_SHINGLES
@@ -452,17 +510,22 @@ class JaccardJoin:
             done = F.max(F.col("ball") & (F.col("beyond").isNull() | (F.col("d") + F.lit(eps) < F.col("beyond"))))
             home = dist.groupBy("region", "sid").agg(F.min("d").alias("home"), done.alias("done")).where(~F.col("done"))
             cell = dist.select("region", "sid", "k", "d").join(home, ["region", "sid"]).where(F.col("d") <= F.col("home") + 2 * eps)
-            cell = cell.select("region", "sid", F.xxhash64("region", "k", F.lit(depth)).alias("cell"))
-            cells.append(cut(wave.join(cell, ["region", "sid"]).select(F.col("cell").alias("region"), "sid", "n", "shingles")))
+            cell = cut(cell.select("region", "sid", F.xxhash64("region", "k", F.lit(depth)).alias("cell")))
+            spread = cell.groupBy("region").agg((F.count(F.lit(1)) / F.countDistinct("sid")).alias("f")).collect()  # one row per region
+            stuck = F.col("region").isin([r["region"] for r in spread if r["f"] > MAX_SPREAD])
+            cells.append(cut(wave.join(cell.where(~stuck), ["region", "sid"]).select(F.col("cell").alias("region"), "sid", "n", "shingles")))
+            if any(r["f"] > MAX_SPREAD for r in spread):
+                links.append(self._block_pairs(wave.join(cell.where(stuck).select("region", "sid").distinct(), ["region", "sid"])))
         out = cells[0]
         for c in cells[1:]:
             out = out.union(c)
         return links, out
 
-    def _block_pairs(self, members: DataFrame, large: DataFrame) -> DataFrame:
+    def _block_pairs(self, members: DataFrame) -> DataFrame:
         """Join what pivots can't cut as pairs of blocks, each of about half a task's share (or one document)."""
+        weight = members.groupBy(F.col("region").alias("of")).agg(F.sum("n").alias("w"))
         blocks = F.ceil(F.col("w") / (REGION_SHINGLES // 2)).cast("int")
-        rows = members.join(large.withColumn("g", blocks), "region").withColumn("i", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int"))
+        rows = members.join(weight.withColumn("g", blocks), F.col("region") == F.col("of")).withColumn("i", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int"))
         rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         task = F.xxhash64("region", F.least("i", "j"), F.greatest("i", "j"))
         rows = rows.select(task.alias("task"), "sid", "n", "shingles")
@@ -479,11 +542,16 @@ def near_duplicates(df: DataFrame, percent: int = 75, words: int = WORDS, id_col
     join = JaccardJoin(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")), percent, words)
     signatures = cut(join.signatures())
     keyed = signatures.where(F.col("doc_id").isNotNull() & F.col("sid").isNotNull())
-    classes = cut(keyed.groupBy("sid").agg(F.min("doc_id").alias("rep")))
-    n_docs, n_shingles = signatures.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    classes = cut(keyed.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    n_shingles = signatures.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(join.parts, math.ceil(n_shingles * (100 - percent + EXTRA) / 100 / BUCKET_SHINGLES))
-    regions = components(join.replication(join.frequent(n_docs), buckets), "a", "b")
-    links = join.join_regions(join.members(classes, regions))
+    frequent = join.frequent(buckets)
+    release(join.spark)
+    regions = components(join.replication(frequent, buckets), "a", "b")
+    release(join.spark)
+    members = join.members(classes, regions)
+    release(join.spark)
+    links = join.join_regions(members)
     parts = components(links, "a", "b")
     named = classes.join(parts, F.col("sid") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "sid").alias("part"))
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
