@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER, U64, as_long, cut, gram_hashes, mix, release, shuffle_partitions, text_bytes, text_chunks, word_hashes, word_spans
-from millrace.llm.components import components
+from millrace.llm.components import components, roots
 
 WORDS = 5
 #: Shingles of a region that one task joins.
@@ -97,6 +97,15 @@ def reach(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n, n - -(-percent * n // 100) + -(-EXTRA * n // 100))
 
 
+def _forest(edges: np.ndarray) -> np.ndarray:
+    """Edges from each node to the least node of its component: as few as connect the same nodes."""
+    ids, at = np.unique(edges, return_inverse=True)
+    at = at.reshape(-1, 2)
+    root = roots(len(ids), at[:, 0], at[:, 1])
+    moved = root != np.arange(len(ids))
+    return np.stack([ids[moved], ids[root[moved]]], axis=1)
+
+
 def linked(overlap, n_a, n_b, percent: int):
     return 100 * overlap >= percent * (n_a + n_b - overlap)
 
@@ -154,8 +163,17 @@ def region_links(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[
                     hit = out[linked(overlaps(x)[out], size[x], size[out], percent)]
                     left += [int(x)] * len(hit)
                     right += hit.tolist()
+            if len(left) > 8 * m:
+                left, right = _spanning(m, left, right)
         remaining[ball] = False
-    return left, right
+    return _spanning(m, left, right)
+
+
+def _spanning(m: int, left: list[int], right: list[int]) -> tuple[list[int], list[int]]:
+    """At most m - 1 links that connect what the given ones connect."""
+    root = roots(m, np.array(left, dtype=np.int64), np.array(right, dtype=np.int64))
+    moved = np.flatnonzero(root != np.arange(m))
+    return moved.tolist(), root[moved].tolist()
 
 
 def _join_sorted(percent: int, key: str):
@@ -307,7 +325,7 @@ class JaccardJoin:
                 group = np.cumsum(new) - 1
                 star = np.bincount(group)[group] > PAIR_LIMIT
                 hub = np.flatnonzero(new)[group]
-                edge = np.unique(np.stack([sid, sid[hub]], axis=1)[star & ~new], axis=0)
+                edge = _forest(np.stack([sid, sid[hub]], axis=1)[star & ~new])
                 sid_of, doc = np.unique(sid, return_inverse=True)
                 n_of = np.zeros(len(sid_of), dtype=np.int32)
                 n_of[doc] = n
@@ -375,7 +393,7 @@ class JaccardJoin:
             of_star = star[group] & ~new if len(h) else new
             if of_star.any():
                 edges.append(np.stack([sid[of_star], sid[start[group[of_star]]]], axis=1))
-            e = np.unique(np.concatenate(edges), axis=0)
+            e = _forest(np.concatenate(edges))
             out = [(e[:, 0], e[:, 1], np.zeros(len(e), np.int32), np.zeros(len(e), np.int32), np.zeros(len(e), np.int64))] if len(e) else []
             pairs, n_pairs = [], 0
 
