@@ -3,10 +3,11 @@
 A unit vector is approximated by the sum of one codeword from each of ``books`` full-dimensional codebooks. Codebooks are
 fitted on a bounded sample as residual codebooks and then refitted jointly by least squares; codes are found by beam search, and each row's index entry is its codes and the norm of its
 approximation. A query's product with every codeword is one lookup table; a row's score is the sum of its table entries
-over its stored norm. In every block of rows each query keeps the best share of candidates by that score and ranks
-them anew by the exact cosine; the best of all blocks are the answer.
+over its stored norm. In every block of rows each query ranks the best share of candidates by that score anew by the
+exact cosine, and then all others whose exact cosine may reach the k-th of these: a row's angle to its own approximation
+is stored, so the score bounds the exact cosine (triangle inequality of angles). The best of all blocks are the answer.
 
-Every row is indexed and searched; only the codebooks see a sample. Queries are joined with rows block by block, so a
+Every distinct vector is indexed once, with its ``k`` + 1 smallest ids (one may be the query's own), and searched; only the codebooks see a sample. Queries are joined with rows block by block, so a
 task holds at most ``ROW_BLOCK`` rows and ``QUERY_BLOCK`` queries.
 """
 
@@ -104,14 +105,20 @@ def search(df: DataFrame, is_query: Column, k: int = 5, books: int = 16, size: i
     Queries are the rows where ``is_query`` holds. Vectors that cannot be compared (see ``vectors.usable``) and rows with
     a null id take no part. A repeated id is one query per distinct vector of it, and its other rows are no candidates
     for it; repeated candidates stand once. An empty table gives an empty table; extra columns are not carried.
-    ``rerank_share`` of each block of rows, 64 at least, is ranked exactly for each query.
+    ``rerank_share`` of each block of vectors, 64 at least, is ranked exactly for each query, and so is every other vector
+    that the bound does not exclude.
     """
     spark = df.sparkSession
     good, dim = usable(df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).withColumn("__query", F.coalesce(is_query, F.lit(False))), vec_col)
     rows = good.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"), "__query").dropDuplicates(["vec_id", "embedding"])
-    rows = cut(rows.withColumn("__hash", F.xxhash64("vec_id", F.lit("block"))))
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("__query").cast("long")), F.lit(0))).first()
-    sample = rows.orderBy("__hash", "vec_id").select("embedding").limit(SAMPLE_ROWS).toArrow()  # at most SAMPLE_ROWS vectors
+    rows = cut(rows)
+    n_queries = rows.where("__query").count()
+    place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))  # cut before the shuffle
+    least = rows.select("vec_id", "embedding").withColumn("place", place).where(F.col("place") <= k + 1)
+    distinct = least.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    distinct = cut(distinct.withColumn("__hash", F.xxhash64(F.col("ids")[0], "embedding", F.lit("block"))))
+    n = distinct.count()
+    sample = distinct.orderBy("__hash", "ids").select("embedding").limit(SAMPLE_ROWS).toArrow()  # at most SAMPLE_ROWS vectors
     x = matrix(sample["embedding"], dim) if n else np.zeros((0, 1))
     model = spark.sparkContext.broadcast(fit(x, books, size) if n else Codebooks.of(np.zeros((books, size, 1))))  # books x size x dim floats, and their products
     row_blocks, query_blocks = max(1, math.ceil(n / ROW_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
@@ -121,26 +128,50 @@ def search(df: DataFrame, is_query: Column, k: int = 5, books: int = 16, size: i
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                codes = m.encode(matrix(batch.column("embedding"), dim), beam)
-                norm = np.linalg.norm(m.decode(codes), axis=1) if len(codes) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float64())], names=[*batch.schema.names, "codes", "norm"])
+                x = matrix(batch.column("embedding"), dim)
+                codes = m.encode(x, beam)
+                near = m.decode(codes)
+                norm = np.linalg.norm(near, axis=1)
+                near = near / np.maximum(norm, 1e-12)[:, None]
+                cos = (x * near).sum(axis=1)
+                sin = np.linalg.norm(x - cos[:, None] * near, axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), *(pa.array(v, pa.float64()) for v in (norm, cos, sin))], names=[*batch.schema.names, "codes", "norm", "cos", "sin"])
 
     vec_type = dict(rows.dtypes)["embedding"]
-    index = rows.mapInArrow(encode, f"vec_id long, embedding {vec_type}, __query boolean, __hash long, codes binary, norm double")
+    index = distinct.mapInArrow(encode, f"embedding {vec_type}, ids array<long>, __hash long, codes binary, norm double, cos double, sin double")
     block = F.pmod("__hash", F.lit(row_blocks)).cast("int")
-    candidates = index.select(F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"), block.alias("r"), F.lit(False).alias("is_query"), "vec_id", "embedding", "codes", "norm")
-    queries = rows.where("__query").select(F.pmod(F.shiftright("__hash", 20), F.lit(query_blocks)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("r"), F.lit(True).alias("is_query"), "vec_id", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm"))
+    candidates = index.select(F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"), block.alias("r"), F.lit(False).alias("is_query"), "ids", "embedding", "codes", "norm", "cos", "sin")
+    none = [F.lit(None).cast("double").alias(c) for c in ("norm", "cos", "sin")]
+    queries = rows.where("__query").select(F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(query_blocks)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("r"), F.lit(True).alias("is_query"), F.array("vec_id").alias("ids"), "embedding", F.lit(None).cast("binary").alias("codes"), *none)
 
     def join(table: pa.Table) -> pa.Table:
         is_q = table["is_query"].to_numpy()
-        ids = table["vec_id"].to_numpy()
+        lists = table["ids"].combine_chunks()
+        ids, n_ids = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        first_id = np.cumsum(n_ids) - n_ids
         vectors = matrix(table["embedding"], dim)
         q, r = np.flatnonzero(is_q), np.flatnonzero(~is_q)
-        out_q, out_v, out_s, out_n = [], [], [], []
+        out_q, out_v, out_s = [], [], []
+
+        def exactly(found: np.ndarray, i: int) -> np.ndarray:
+            return (vectors[found] * vectors[i]).sum(axis=1)  # unlike a matrix product alike for a vector in any place
+
+        def nearest(found: np.ndarray, exact: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+            """The first k ids of the vectors ``found`` but ``own``, and their cosines."""
+            n = n_ids[found]
+            mine = ids[np.repeat(first_id[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            exact = np.repeat(exact, n)[mine != own]
+            mine = mine[mine != own]
+            top = np.lexsort((mine, -exact))
+            _, first = np.unique(mine[top], return_index=True)  # an id stands once, by its nearest vector
+            top = top[np.sort(first)][:k]
+            return mine[top], exact[top]
+
         if len(q) and len(r):
             m = model.value
             codes = np.frombuffer(b"".join(table["codes"].filter(pa.array(~is_q)).to_pylist()), dtype=np.uint8).reshape(len(r), -1)
-            norm = np.maximum(table["norm"].to_numpy(zero_copy_only=False)[r], 1e-12)
+            norm, cos, sin = (table[c].to_numpy(zero_copy_only=False)[r] for c in ("norm", "cos", "sin"))
+            norm = np.maximum(norm, 1e-12)
             keep = min(len(r), max(64, k + 1, math.ceil(rerank_share * len(r))))
             for at in range(0, len(q), 64):
                 some = q[at : at + 64]
@@ -150,17 +181,24 @@ def search(df: DataFrame, is_query: Column, k: int = 5, books: int = 16, size: i
                     score = score + lut[b][:, codes[:, b]]
                 score = score / norm
                 best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                for i, mine in zip(some, best):
-                    found = r[mine]
-                    found = found[ids[found] != ids[i]]
-                    exact = vectors[found] @ vectors[i]
-                    top = np.lexsort((ids[found], -exact))
-                    _, first = np.unique(ids[found][top], return_index=True)  # an id stands once, by its nearest vector
-                    top = top[np.sort(first)][:k]
-                    out_q.append(np.full(len(top), ids[i]))
-                    out_n.append(np.full(len(top), i))
-                    out_v.append(ids[found][top])
-                    out_s.append(exact[top])
+                slack = len(lut) * 2.0**-23 * np.abs(lut).max(axis=2).sum(axis=0).astype(np.float64)[:, None] / norm + 1e-9  # of the 32-bit sums
+                low = np.clip(np.abs(score) - slack, 0, 1)
+                bound = score * cos + slack * np.abs(cos) + np.sqrt(1 - low * low) * sin + 1e-9
+                for i, mine, most in zip(some, best, bound):
+                    own = ids[first_id[i]]
+                    ranked = r[mine]
+                    exact = exactly(ranked, i)
+                    found, reached = nearest(ranked, exact, own)
+                    most[mine] = -np.inf
+                    rest = r[most >= reached[-1]] if len(found) == k else r[most > -np.inf]
+                    if len(rest):
+                        others = exactly(rest, i)
+                        if len(found) == k:
+                            ranked, exact, rest, others = ranked[exact >= reached[-1]], exact[exact >= reached[-1]], rest[others >= reached[-1]], others[others >= reached[-1]]
+                        found, reached = nearest(np.concatenate([ranked, rest]), np.concatenate([exact, others]), own)
+                    out_q.append(np.full(len(found), own))
+                    out_v.append(found)
+                    out_s.append(reached)
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         return pa.table({"query_id": cat(out_q, np.int64), "vec_id": cat(out_v, np.int64), "score": cat(out_s, np.float64)})
 

@@ -159,6 +159,29 @@ def test_ann_recall_and_exact_scores(spark, monkeypatch):
     assert len(few) == 3
 
 
+def test_ann_is_exact_among_copies_and_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROW_BLOCK", 600)
+    rng = np.random.default_rng(7)
+    one, other = rng.normal(size=8), rng.normal(size=8)
+    near = [other + 1e-4 * rng.normal(size=8) for _ in range(500)]
+    made = [one] * 600 + near + [rng.normal(size=8) for _ in range(400)]
+    pairs = [(int(i), [float(x) for x in v]) for i, v in zip(rng.permutation(len(made)), made)]
+    pairs += [pairs[3], (pairs[700][0], pairs[5][1]), (pairs[1][0], pairs[800][1])]
+    by_id = {}
+    for i, v in usable(pairs):
+        by_id.setdefault(i, []).append(v)
+    x = {i: np.stack(v) for i, v in by_id.items()}
+    got = ann.search(vectors(spark, pairs), F.col("vec_id") % 20 == 0).collect()
+    assert {r.query_id for r in got} == {i for i in x if i % 20 == 0}
+    for q in {r.query_id for r in got}:
+        exact = {i: round(float((v @ x[q].T).max()), 12) for i, v in x.items() if i != q}
+        want = sorted(exact, key=lambda i: (-exact[i], i))[:5]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [exact[r.vec_id] for r in mine] == [exact[i] for i in want]
+        if exact[want[0]] == exact[want[-1]]:
+            assert [r.vec_id for r in mine] == want
+
+
 def test_beam_search_encodes_better_with_more_beams():
     x = np.random.default_rng(4).normal(size=(600, 16))
     book = ann.fit(x, books=4, size=16)
