@@ -97,12 +97,17 @@ def shortest_paths(edges: DataFrame, doublings: int) -> DataFrame:
 
 def transitive_closure(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(src, dst) for every path, by semi-naive iteration: only pairs found last are extended."""
-    e = cut_lineage(edges.select("src", "dst").distinct())
+
+    def cut(df: DataFrame) -> DataFrame:
+        # as one struct: a checkpoint of plain columns may keep constraints on columns of its source, which a union can't resolve
+        return cut_lineage(df.select(F.struct("src", "dst").alias("pair"))).select("pair.src", "pair.dst")
+
+    e = cut(edges.select("src", "dst").distinct())
     known, new = e, e
     for _ in range(rounds):
         step = new.alias("n").join(e.alias("e"), F.col("n.dst") == F.col("e.src")).select(F.col("n.src").alias("src"), F.col("e.dst").alias("dst")).distinct()
-        new = cut_lineage(step.join(known, ["src", "dst"], "left_anti"))
+        new = cut(step.join(known, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             return known
-        known = cut_lineage(known.unionByName(new))
+        known = cut(known.unionByName(new))
     raise RuntimeError(f"no closure within {rounds} rounds")
