@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 ROUNDS = 8
+#: Characters of a secret that are permuted at once.
+PIECE = 256
 
 #: Titles by gender, and given names by gender from which surrogates are drawn.
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sir"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Señorita"), "n": ("Dr", "Prof")}
@@ -41,7 +43,7 @@ PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}\b)"
     rf"|(?P<ip>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d))"
     r"|(?P<key>(?<!\w)AKIA[0-9A-Z]{16}(?!\w))"
-    r"|(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[^\s\"']{6,256})"
+    r"|(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[^\s\"']{6,})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w+.-])\d(?:[ -]?\d){12,18}(?!\w|-\d))"
@@ -129,7 +131,9 @@ class Surrogates:
         if kind == "key":
             return value[:4] + self._any(value[4:], kind, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         if kind == "secret":
-            return self._any(value, kind, _HEX) if all(c in _HEX for c in value) else self.letters(value, kind)
+            is_hex = all(c in _HEX for c in value)
+            pieces = [(value[at : at + PIECE], f"{kind} {at}" if at else kind) for at in range(0, len(value), PIECE)]
+            return "".join(self._any(p, k, _HEX) if is_hex else self.letters(p, k) for p, k in pieces)
         if kind == "iban":
             return value[:2] + self.letters(value[2:], kind)
         if kind == "card":

@@ -141,6 +141,21 @@ def test_pii_surrogates(spark):
     assert pii.replace_pii(empty_documents(spark)).count() == 0
 
 
+def test_pii_long_secrets_are_replaced_whole(spark):
+    rng = random.Random(8)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789-_.", "0123456789abcdef"):
+        one = "".join(rng.choice(alphabet) for _ in range(699)) + "a"
+        other = one[:-1] + "e"
+        df = documents(spark, [(1, f"x token={one} y"), (2, f'{{"secret": "{one}"}}'), (3, f"token={other}")])
+        got = {r.row.doc_id: r for r in pii.replace_pii(df).collect()}
+        new = {i: [r.text[e.start : e.start + e.length] for e in r.entities] for i, r in got.items()}
+        assert all(len(found) == 1 and len(found[0]) == 700 for found in new.values())
+        assert new[1] == new[2] != new[3]
+        assert got[1].text == f"x token={new[1][0]} y"
+        for r in got.values():
+            assert all(one[k : k + 30] not in r.text for k in range(len(one) - 29))
+
+
 def test_pii_permutations_are_bijective():
     s = pii.Surrogates(b"k")
     for size in (1, 2, 3, 10, 97, 256, 1000):
