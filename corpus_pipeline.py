@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, jaccard, mixing, pii, quality
-from millrace.llm.common import ensure_checkpoint_dir, read_table
+from millrace.llm.common import cut, ensure_checkpoint_dir, read_table
 from millrace.llm.queries import TOKENIZER_DIR
 
 #: No SQL: learned scores, keyed surrogates and BPE. The stages are held against brute force in tests/llm.
@@ -27,10 +27,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id. Documents without an id stay; rows that
-    repeat id and text are one document."""
-    found = jaccard.near_duplicates(docs)
-    doomed = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(doomed, "doc_id", "left_anti")
+    repeat id and text are one document; other rows of one id are documents of their own."""
+    # an id may stand on different texts: rows are judged and dropped by a hash of both
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.col("text").isNull(), "text"))
+    rows = docs.withColumn("__row", row)
+    found = jaccard.near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    grouped = found.where(F.col("__row") != F.col("__group")).select(F.explode(F.array("__row", "__group")).alias("__row"), "__group").distinct()
+    grouped = cut(grouped.join(rows.select("__row", "doc_id").distinct(), "__row"))
+    first = grouped.groupBy("__group").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
+    doomed = grouped.select("__row").join(first, "__row", "left_anti")
+    kept = rows.join(doomed, "__row", "left_anti").drop("__row")
     named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
     return named.unionByName(kept.where(F.col("doc_id").isNull())).select(docs.columns)
 

@@ -57,6 +57,16 @@ def test_stages_on_odd_documents(spark, sf_dir):
     assert {2, 3} <= {r.doc_id for r in kept}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    pairs = [(1, a), (7, a), (7, b), (9, b), (20, c), (20, c + " end"), (20, c), (30, ""), (30, None), (None, a)]
+    docs = documents(spark, pairs).select("doc_id", "text", "lang", "source", "n_chars")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert len(kept) == len(set(kept)) == 6
+    assert {(1, a), (7, b), (30, ""), (30, None), (None, a)} < set(kept)
+    assert sum(i == 20 for i, _ in kept) == 1
+
+
 def test_registered():
     import __spark_entry__
 
