@@ -14,7 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,12 +33,54 @@ GIVEN = {
     "m": ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Daniel", "Peter", "Paul", "Hans", "Karl", "Pierre", "Jean", "Carlos", "José"),
     "f": ("Mary", "Anna", "Linda", "Susan", "Sarah", "Karen", "Laura", "Emma", "Julia", "Alice", "Greta", "Petra", "Marie", "Claire", "Carmen", "Lucía"),
 }
-#: Letter classes by script; a surrogate letter comes from the same class.
+#: Letter classes by script; a surrogate letter comes from the same class. Other letters and digits have
+#: classes by Unicode block, script, category and case.
 ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåæéèêëíìîïóòôöõøúùûü", "çñß", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 _LISTED = {n for ns in GIVEN.values() for n in ns}
 _CLASS = {c: a for a in ALPHABETS for c in a} | {c: "0123456789" for c in "0123456789"}
 _HEX = "0123456789abcdef"
 
+
+def _fold(c: str) -> str:
+    """The lower-case form of a character if that gives it back in upper case, else the character."""
+    low = c.lower()
+    return low if len(low) == 1 and low.upper() == c else c
+
+
+def _kind(c: str) -> tuple | None:
+    """Block of 256 code points, script, category and case of a folded letter or digit outside ``ALPHABETS``, else None."""
+    if not c.isalnum() or c in _CLASS or _fold(c) != c:
+        return None
+    return ord(c) >> 8, unicodedata.name(c, "").split(" ")[0], unicodedata.category(c), _fold(c.upper()) == c != c.upper() if len(c.upper()) == 1 else False
+
+
+@cache
+def _block(page: int) -> dict[str, str]:
+    """Classes of a block's characters outside ``ALPHABETS``: those of one kind; a kind's only one has none here."""
+    kinds: dict[tuple, str] = {}
+    for n in range(page << 8, (page + 1) << 8):
+        if (kind := _kind(chr(n))) is not None:
+            kinds[kind] = kinds.get(kind, "") + chr(n)
+    return {c: own for own in kinds.values() if len(own) > 1 for c in own}
+
+
+@cache
+def _alone() -> dict[str, str]:
+    """Classes of the characters that are the only ones of their kind in their block, by category and case."""
+    pools: dict[tuple, str] = {}
+    for n in range(sys.maxunicode + 1):
+        if (kind := _kind(chr(n))) is not None and chr(n) not in _block(n >> 8):
+            pool = (kind[2] if kind[2][0] == "L" else "N", kind[3])
+            pools[pool] = pools.get(pool, "") + chr(n)
+    return {c: own for own in pools.values() for c in own}
+
+
+def _any_class(c: str) -> str | None:
+    """The class of any letter or digit."""
+    if c in _CLASS or not c.isalnum():
+        return _CLASS.get(c)
+    return _block(ord(c) >> 8).get(c) or _alone().get(c)
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _CAPITAL = r"[^\W\d_a-zà-öø-ÿа-яα-ω]\w*(?:-\w+)?"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
@@ -95,12 +140,11 @@ class Surrogates:
         step = 1 + self._mix(tweak, ROUNDS, size, size - 1)
         return self._network((self._network(x, size, tweak, False) + step) % size, size, tweak, True)
 
-    def letters(self, text: str, kind: str, classes: dict[str, str] = _CLASS) -> str:
-        """Replace every character that has a class by one of that class; the others stay. Case is laid over."""
-        low = text.lower()
-        if len(low) != len(text):
-            low = text
-        radix = [classes.get(c) for c in low]
+    def letters(self, text: str, kind: str, classes: dict[str, str] | None = None) -> str:
+        """Replace every character that has a class (without ``classes`` every letter and digit) by one of that class; the
+        others stay. Case is laid over."""
+        low = [_fold(c) for c in text]
+        radix = [_any_class(c) if classes is None else classes.get(c) for c in low]
         size, x = 1, 0
         for c, r in zip(low, radix):
             if r:
@@ -112,7 +156,7 @@ class Surrogates:
         for c, r in zip(reversed(text), reversed(radix)):
             if r:
                 y, i = divmod(y, len(r))
-                c = r[i].upper() if c.isupper() and len(r[i].upper()) == 1 else r[i]
+                c = r[i].upper() if _fold(c) != c and len(r[i].upper()) == 1 else r[i]
             out.append(c)
         return "".join(reversed(out))
 
@@ -138,7 +182,7 @@ class Surrogates:
             return value[:2] + self.letters(value[2:], kind)
         if kind == "card":
             digits = [i for i, c in enumerate(value) if c.isdigit()]
-            number = "".join(value[i] for i in digits)
+            number = "".join(str(int(value[i])) for i in digits)
             out = number
             if _luhn(number):
                 body = self._any(number[:-1], "luhn", "0123456789")
@@ -148,7 +192,7 @@ class Surrogates:
                     pass
             chars = list(value)
             for i, c in zip(digits, out):
-                chars[i] = c
+                chars[i] = chr(ord(chars[i]) - int(chars[i]) + int(c))  # in the script of the digit
             return "".join(chars)
         if kind == "phone":
             head = re.match(r"\+\d{1,3}(?=[ .(-])", value)

@@ -156,6 +156,26 @@ def test_pii_long_secrets_are_replaced_whole(spark):
             assert all(one[k : k + 30] not in r.text for k in range(len(one) - 29))
 
 
+def test_pii_leaves_no_entity_in_any_script(spark):
+    names = ["王小明", "李", "محمد", "שרה", "김철수", "Łł", "Žž", "Şş", "Ğ", "İİ", "Σς", "ΣΑΣ", "Ünal-Łoś", "ª", "Ա", "ก"]
+    texts = [f"Dr {n} came" for n in names] + ["1 SSN ١٢٣-٤٥-٦٧٨٩ x", "1: card ١٢٣٤ ٥٦٧٨ ٩٠١٢ ٣٤٥٢ x", "password=密码密码密码", "token=łžşłžşł"]
+    got = {r.row.doc_id: r for r in pii.replace_pii(documents(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        found = pii.find(text)
+        assert len(found) == len(got[i].entities) == 1, text
+        _, a, b, _ = found[0]
+        e = got[i].entities[0]
+        new = got[i].text[e.start : e.start + e.length]
+        assert new != text[a:b] and len(new) == b - a, text
+        assert [c.isupper() for c in new] == [c.isupper() for c in text[a:b]], text
+    s = pii.Surrogates(b"k")
+    for own in ("ł", "ż", "א", "ك", "ª", "ς"):
+        own = pii._any_class(own)
+        assert all(pii._any_class(c) == own for c in own)
+        new = [s.letters(c, "t") for c in own]
+        assert sorted(new) == sorted(own) and all(x != y for x, y in zip(own, new))
+
+
 def test_pii_permutations_are_bijective():
     s = pii.Surrogates(b"k")
     for size in (1, 2, 3, 10, 97, 256, 1000):
