@@ -56,9 +56,9 @@ def _pagerank_sql(rounds: int) -> str:
     return ", ".join(parts) + f" SELECT vid, round(rank, 10) AS rank FROM r{rounds}"
 
 
-@query("pagerank", _pagerank_sql(5))
+@query("pagerank", _pagerank_sql(21))
 def pagerank(spark, sf_dir):
-    return graph.pagerank(edges(spark, sf_dir), rounds=5).select("vid", F.round("rank", 10).alias("rank"))
+    return graph.pagerank(edges(spark, sf_dir)).select("vid", F.round("rank", 10).alias("rank"))
 
 
 _TRIANGLES = "SELECT p.src AS a, p.dst AS b, q.dst AS c FROM edges p JOIN edges q ON p.src = q.src AND p.dst < q.dst JOIN edges r ON r.src = p.dst AND r.dst = q.dst"

@@ -35,3 +35,16 @@ def test_transitive_closure_chains_all_edges(spark, events):
     got = QUERIES["transitive_closure"](spark, folder).toPandas()
     assert sorted(zip(got.src, got.dst)) == sorted(want)
     assert rows(got) == rows(c.sql(SQL["transitive_closure"]).df())
+
+
+def test_pagerank_runs_all_rounds(spark, events):
+    pairs = [(i, i + 1) for i in range(30)] + [(3, 9), (3, 28), (40, 41)]
+    vertices = {v for p in pairs for v in p}
+    degree = {v: sum(a == v for a, _ in pairs) for v in vertices}
+    want = {v: 1 / len(vertices) for v in vertices}
+    for _ in range(21):
+        want = {v: 0.15 / len(vertices) + 0.85 * sum(want[a] / degree[a] for a, b in pairs if b == v) for v in vertices}
+    folder, c = events(pairs)
+    got = QUERIES["pagerank"](spark, folder).toPandas()
+    assert dict(zip(got.vid, got["rank"])) == pytest.approx(want, abs=1e-9)
+    assert rows(got) == rows(c.sql(SQL["pagerank"]).df())
