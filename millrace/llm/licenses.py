@@ -97,7 +97,7 @@ def scan_sql(threshold: float = THRESHOLD) -> str:
 WITH templates(license, grams) AS (VALUES {', '.join(rows)}),
 units AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(coalesce(text, ''), chr(10)), regexp_split_to_array(coalesce(text, ''), '\\n[ \\t]*\\n')))) AS unit FROM documents),
 split_up AS (SELECT doc_id, unit, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS words FROM units),
-sets AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM split_up WHERE len(words) BETWEEN 2 AND 400),
+sets AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM split_up WHERE len(words) >= 2),
 scored AS (SELECT s.doc_id, s.unit, t.license, round(2.0 * len(list_intersect(s.grams, t.grams)) / (len(s.grams) + len(t.grams)), 6) AS dice FROM sets s, templates t WHERE len(s.grams) * {2 - threshold} + 1e-9 >= len(t.grams) * {threshold} AND len(s.grams) * {threshold} <= len(t.grams) * {2 - threshold} + 1e-9),
 best AS (SELECT doc_id, unit, max({{'dice': dice, 'license': license}}) AS top FROM scored WHERE dice >= {threshold} GROUP BY doc_id, unit),
 found AS (SELECT doc_id, count(*) AS n_units, max(top) AS top FROM best GROUP BY doc_id)

@@ -224,3 +224,16 @@ def test_mixing_samples_by_weight(spark):
     # keys are exponential: of each weight w a share 1 - exp(-w t) is taken, t where both shares make a half
     assert n[0] + n[1] == 2000
     assert 2.2 < n[1] / n[0] < 3.2
+
+
+def test_license_sql_takes_long_units(spark):
+    import duckdb
+
+    text = " ".join([max((t for _, t in licenses.TEMPLATES), key=len)] * 40)
+    assert len(text.split()) > 400
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.execute("INSERT INTO documents VALUES (1, ?)", [text])
+    want = rows(c.sql(licenses.scan_sql()).df())
+    assert rows(licenses.scan(documents(spark, [(1, text)])).toPandas()) == want
+    assert want[1][0][want[0].index("n_units")] == 1
