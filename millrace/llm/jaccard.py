@@ -556,6 +556,9 @@ def near_duplicates(df: DataFrame, percent: int = 75, words: int = WORDS, id_col
     Null and empty texts have no shingles and link with nothing; texts of fewer words than a shingle have one, the
     whole sequence. Repeated rows and equal sets share a component. A null id takes no part: its component is null.
     An empty table gives an empty table; extra columns are not carried.
+
+    Components are exact, but links are not all evaluated: a region gives a spanning forest, so neither the links nor
+    their number per document can be reported.
     """
     join = JaccardJoin(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")), percent, words)
     signatures = cut(join.signatures())
