@@ -38,9 +38,13 @@ def to_lower(c: Column) -> Column:
     return F.lower(c)
 
 
+#: A character outside of words.
+NON_WORD = r"[^\p{L}\p{Nd}_]"
+
+
 def replace_non_word(c: Column, replacement: str = " ") -> Column:
     """Everything but Unicode letters, decimal digits and ``_`` replaced, character by character."""
-    return F.regexp_replace(c, r"[^\p{L}\p{Nd}_]", replacement)
+    return F.regexp_replace(c, NON_WORD, replacement)
 
 
 def tokenize(c: Column) -> Column:
@@ -124,8 +128,20 @@ def json_set(c: Column, key: str, value: Column) -> Column:
     return F.to_json(F.map_concat(F.map_filter(members, lambda k, _: k != F.lit(key)), F.create_map(F.lit(key), value.cast("string"))))
 
 
-def parse_number(c: Column, kind: str = "double", decimal: str = ".") -> Column:
-    """A number from text, null where it is none; ``decimal`` may be a comma."""
+def year_after(c: Column, year: int) -> Column:
+    """``year(c) > year`` as a range, which reaches the statistics of Parquet files."""
+    return c >= F.make_timestamp(F.lit(year + 1), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+
+
+def year_is(c: Column, year: int) -> Column:
+    """``year(c) = year`` as a range."""
+    return year_after(c, year - 1) & ~year_after(c, year)
+
+
+def parse_number(c: Column, kind: str = "double", decimal: str = ".", exponent: bool = True) -> Column:
+    """A number from text, null where it is none; ``decimal`` may be a comma; without ``exponent`` 1e3 is none."""
+    if not exponent:
+        c = F.when(~c.rlike("[eE]"), c)
     if decimal != ".":
         c = F.replace(c, F.lit(decimal), F.lit("."))
     return F.trim(c).try_cast(kind)
@@ -135,6 +151,20 @@ def format_number(c: Column, pattern: str = "%.2f") -> Column:
     return F.format_string(pattern, c)
 
 
+def log2_floor(c: Column) -> Column:
+    """The place of an integer's highest bit: 0 for 1, null below 1."""
+    return F.when(c > 0, F.length(F.bin(c)) - 1)
+
+
+def is_power_of_two(c: Column) -> Column:
+    return (c > 0) & (F.bit_count(c) == 1)
+
+
+def next_power_of_two(c: Column) -> Column:
+    """The least power of two that is not less."""
+    return F.when(c <= 1, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(c - 1))))
+
+
 def coalesce_fields(a: Column, b: Column) -> Column:
     return F.coalesce(a, b)
 

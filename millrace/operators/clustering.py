@@ -1,4 +1,4 @@
-"""K-means over (id, coords) points and (cid, centre) centres; the centres' number is fixed, so they are broadcast."""
+"""K-means over (id, coords) points and (cid, centre) centres; the centres are broadcast where they are few."""
 
 from __future__ import annotations
 
@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import euclidean
+from millrace.operators.hints import small_enough
 from millrace.operators.iterate import bulk
 
+#: Centres that are broadcast at most.
+MAX_BROADCAST = 10_000
+
 
 def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
     """Points with the nearest centre's ``cid`` (ties: the smaller) and ``distance``. Row by row: the centres travel as
     one array, so no pair is ever a row."""
+    few = small_enough(centres, MAX_BROADCAST)
     packed = centres.agg(F.array_sort(F.collect_list(F.struct("cid", "centre"))).alias("__centres"))
     scored = F.transform("__centres", lambda c: F.struct(euclidean(F.col("coords"), c["centre"]).alias("distance"), c["cid"].alias("cid")))
-    best = points.crossJoin(F.broadcast(packed)).withColumn("__best", F.array_min(scored)).drop("__centres")
+    best = points.crossJoin(F.broadcast(packed) if few else packed).withColumn("__best", F.array_min(scored)).drop("__centres")
     return best.select(*points.columns, F.col("__best.cid").alias("cid"), F.col("__best.distance").alias("distance"))
 
 

@@ -26,9 +26,43 @@ def adjacency_lists(edges: DataFrame, both: bool = True) -> DataFrame:
     return e.groupBy(F.col("src").alias("vid")).agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
 
 
+def adjacency_edges(lists: DataFrame, both: bool = True) -> DataFrame:
+    """(src, dst) for every neighbour of adjacency lists (vid, neighbours), each once; ``both``: and backwards."""
+    forward = lists.select(F.col("vid").alias("src"), F.explode("neighbours").alias("dst"))
+    return undirected(forward) if both else forward.distinct()
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One round over edges (a, b), a > b. Large: a vertex sends its larger neighbours to its least one. Small: a vertex sends
+    itself and its smaller neighbours to the least of them. One row per vertex is aggregated before it is joined, so a hub
+    is no group of its neighbours."""
+    swapped = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    least = (edges.union(swapped) if large else edges).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
+    if large:
+        out = edges.join(least, F.col("b") == F.col("v")).select("a", F.col("m").alias("b"))
+    else:
+        out = edges.join(least, F.col("a") == F.col("v")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("v").alias("a"), F.col("m").alias("b")))
+    return out.where(F.col("a") != F.col("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(vid, cid): each vertex with the least vertex that it reaches, by delta iteration: vertices whose component
-    improved tell their neighbours, until none does."""
+    """(vid, cid): each vertex with the least vertex that it reaches, by alternating large and small stars: rounds grow with
+    the logarithm of the longest path, and go on until none changes an edge."""
+    loops = edges.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
+    now = cut_lineage(edges.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    mark = None
+    while True:
+        now = cut_lineage(_star(_star(now, True), False))
+        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+        if seen == mark:
+            break
+        mark = seen
+    return loops.join(now, F.col("vid") == F.col("a"), "left").select("vid", F.coalesce("b", "vid").alias("cid"))
+
+
+def components_delta(edges: DataFrame) -> DataFrame:
+    """The same by delta iteration: vertices whose component improved tell their neighbours, until none does. A round
+    carries a component one edge further, so this suits graphs of small diameter."""
     both = cut_lineage(undirected(edges))
     solution = both.select(F.col("src").alias("vid")).distinct().withColumn("cid", F.col("vid"))
 
@@ -38,6 +72,37 @@ def components(edges: DataFrame) -> DataFrame:
     return delta(solution, solution, step, "vid", "cid")
 
 
+def components_bulk(edges: DataFrame, rounds: int = 2**31) -> DataFrame:
+    """The same by bulk iteration: in a round every vertex takes the least component among itself and its neighbours; it ends
+    when a round changes none."""
+    both = cut_lineage(undirected(edges))
+
+    def step(state: DataFrame) -> DataFrame:
+        told = state.join(both, F.col("vid") == F.col("src")).select(F.col("dst").alias("vid"), "cid")
+        return state.unionByName(told).groupBy("vid").agg(F.min("cid").alias("cid"))
+
+    def settled(old: DataFrame, new: DataFrame) -> bool:
+        return old.select("vid", F.col("cid").alias("was")).join(new, "vid").where("was <> cid").isEmpty()
+
+    return bulk(both.select(F.col("src").alias("vid")).distinct().withColumn("cid", F.col("vid")), step, rounds, done=settled)
+
+
+def metis_lines(edges: DataFrame) -> DataFrame:
+    """(line, text) of a METIS graph file: line 0 has the numbers of vertices and edges, line v the neighbours of vertex v. Vertices
+    are 1 to the largest id; those without edges have an empty line."""
+    both = undirected(edges.where(F.col("src") != F.col("dst")))
+    size = both.agg(F.coalesce(F.max("src"), F.lit(0)).alias("n"), (F.count(F.lit(1)) / 2).cast("long").alias("m")).first()
+    lists = both.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("dst")), " ").alias("text"))
+    body = edges.sparkSession.range(1, size["n"] + 1).join(lists, F.col("id") == F.col("src"), "left").select(F.col("id").alias("line"), F.coalesce("text", F.lit("")).alias("text"))
+    head = edges.sparkSession.range(1).select(F.col("id").alias("line"), F.lit(f"{size['n']} {size['m']}").alias("text"))
+    return head.union(body)
+
+
+def metis_partition(vertices: DataFrame, parts: DataFrame) -> DataFrame:
+    """Vertices (vid) with the part that a METIS result (line, part), lines from 1, gives them; null where it gives none."""
+    return vertices.join(parts.select(F.col("line").alias("vid"), "part"), "vid", "left")
+
+
 def pagerank(edges: DataFrame, rounds: int = 21, damping: float = 0.85) -> DataFrame:
     """(vid, rank) after ``rounds`` rounds from 1/N: (1 - damping)/N plus damping times what in-edges bring; a vertex without
     out-edges keeps its rank to itself (it is not dealt out)."""
@@ -58,7 +123,7 @@ def pagerank(edges: DataFrame, rounds: int = 21, damping: float = 0.85) -> DataF
 def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c), a < b < c. Edges are oriented from the end of lower degree, so that no vertex makes more than
     the square root of the edges' number of candidates per edge; only then are ends sorted by id."""
-    e = canonical(edges)
+    e = cut_lineage(canonical(edges))  # read four times
     ends = e.select(F.col("a").alias("v")).union(e.select("b"))
     degree = ends.groupBy("v").agg(F.count(F.lit(1)).alias("d"))
     da, db = (degree.select(F.col("v").alias(f"v{s}"), F.col("d").alias(f"d{s}")) for s in "ab")
@@ -95,19 +160,20 @@ def shortest_paths(edges: DataFrame, doublings: int) -> DataFrame:
     return bulk(start, double_paths, doublings, every=1)
 
 
-def transitive_closure(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(src, dst) for every path, by semi-naive iteration: only pairs found last are extended."""
+def transitive_closure(edges: DataFrame) -> DataFrame:
+    """(src, dst) for every path. Only pairs found last are joined, on either end with all that are known, so the length of the
+    paths covered doubles: rounds grow with the logarithm of the longest path, and go on until nothing is new."""
 
     def cut(df: DataFrame) -> DataFrame:
         # as one struct: a checkpoint of plain columns may keep constraints on columns of its source, which a union can't resolve
         return cut_lineage(df.select(F.struct("src", "dst").alias("pair"))).select("pair.src", "pair.dst")
 
-    e = cut(edges.select("src", "dst").distinct())
-    known, new = e, e
-    for _ in range(rounds):
-        step = new.alias("n").join(e.alias("e"), F.col("n.dst") == F.col("e.src")).select(F.col("n.src").alias("src"), F.col("e.dst").alias("dst")).distinct()
+    def chained(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.alias("x").join(b.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"))
+
+    known = new = cut(edges.select("src", "dst").distinct())
+    while not new.isEmpty():
+        step = chained(new, known).union(chained(known, new)).distinct()
         new = cut(step.join(known, ["src", "dst"], "left_anti"))
-        if new.isEmpty():
-            return known
         known = cut(known.unionByName(new))
-    raise RuntimeError(f"no closure within {rounds} rounds")
+    return known

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.operators.ordering import placed
 from millrace.plans.catalog import query
 from millrace.sources.tables import table
 
@@ -61,14 +62,16 @@ def pigmix_l8(spark, sf_dir):
     return _views(spark, sf_dir).agg(F.round(F.sum("revenue"), 4).alias("total"), F.round(F.avg("revenue"), 6).alias("mean"))
 
 
-@query("pigmix_l9", "SELECT user_id AS user, event_type AS action, round(value, 4) AS revenue FROM events")
+@query("pigmix_l9", "SELECT user_id AS user, event_type AS action, round(value, 4) AS revenue, row_number() OVER (ORDER BY event_type, user_id, ts, value) AS place FROM events")
 def pigmix_l9(spark, sf_dir):
-    return _views(spark, sf_dir).orderBy("action").select("user", "action", F.round("revenue", 4).alias("revenue"))
+    """Views in order of action (then of the other columns), with their places."""
+    return placed(_views(spark, sf_dir).orderBy("action", "user", "ts", "revenue")).select("user", "action", F.round("revenue", 4).alias("revenue"), "place")
 
 
-@query("pigmix_l10", "SELECT user_id AS user, event_type AS action, round(value, 4) AS revenue FROM events")
+@query("pigmix_l10", "SELECT user_id AS user, event_type AS action, round(value, 4) AS revenue, row_number() OVER (ORDER BY event_type, value DESC, ts, user_id) AS place FROM events")
 def pigmix_l10(spark, sf_dir):
-    return _views(spark, sf_dir).orderBy(F.asc("action"), F.desc("revenue"), F.asc("ts")).select("user", "action", F.round("revenue", 4).alias("revenue"))
+    """Views in mixed order, with their places."""
+    return placed(_views(spark, sf_dir).orderBy(F.asc("action"), F.desc("revenue"), F.asc("ts"), "user")).select("user", "action", F.round("revenue", 4).alias("revenue"), "place")
 
 
 @query("pigmix_l11", "SELECT user_id AS user FROM events UNION SELECT c_custkey FROM customer WHERE c_acctbal > 5000")

@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace import functions as fn
+from millrace.operators.ordering import in_order, placed
 from millrace.plans.catalog import query
+from millrace.sinks import bounded_sorted, local_sorted
 from millrace.sources.tables import table
 
 
@@ -28,8 +30,8 @@ def _select(name, source, sql, columns, where=None):
 c = F.col
 _select("filter_equal", "orders", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'", lambda: ["o_orderkey"], where=lambda: c("o_orderstatus") == "F")
 _select("filter_prefix", "orders", "SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%'", lambda: ["o_orderkey"], where=lambda: c("o_orderpriority").startswith("1"))
-_select("filter_year_after", "orders", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) > 1999", lambda: ["o_orderkey"], where=lambda: F.year("o_orderdate") > 1999)
-_select("filter_year_equal", "orders", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1998", lambda: ["o_orderkey"], where=lambda: F.year("o_orderdate") == 1998)
+_select("filter_year_after", "orders", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) > 1999", lambda: ["o_orderkey"], where=lambda: fn.year_after(c("o_orderdate"), 1999))
+_select("filter_year_equal", "orders", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1998", lambda: ["o_orderkey"], where=lambda: fn.year_is(c("o_orderdate"), 1998))
 _select("filter_keywords", "documents", "SELECT doc_id FROM documents WHERE text LIKE '% the %' AND text LIKE '% of %' AND text LIKE '% and %'", lambda: ["doc_id"], where=lambda: reduce(lambda a, b: a & b, [c("text").contains(w) for w in (" the ", " of ", " and ")]))
 _select("filter_number", "part", "SELECT p_partkey FROM part WHERE p_size > 25", lambda: ["p_partkey"], where=lambda: c("p_size") > 25)
 _select("filter_date_before", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-06-01'", lambda: ["l_orderkey", "l_linenumber"], where=lambda: c("l_shipdate") < F.to_timestamp(F.lit("1996-06-01")))
@@ -163,14 +165,39 @@ def order_mixed(spark, sf_dir):
     return top.withColumn("place", F.row_number().over(w).cast("long")).select("l_returnflag", "l_extendedprice", "l_orderkey", "l_linenumber", "place")
 
 
-@query("terasort", "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem")
+@query("terasort", "SELECT l_orderkey, l_linenumber, l_shipdate, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem")
 def terasort(spark, sf_dir):
-    """All lines in global order of ship date: range partitioning by sampled bounds, then local sorts."""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    """All lines in global order of ship date, with their places: range partitioning by sampled bounds, local sorts, and the
+    numbers of rows of the partitions before."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
+    return placed(lines.orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).select("l_orderkey", "l_linenumber", "l_shipdate", "place")
 
 
-@query("sort_bounded", "SELECT CAST((o_totalprice > 100000)::INT + (o_totalprice > 300000)::INT AS INTEGER) AS partition, count(*) AS n FROM orders GROUP BY 1")
+@query("sort_bounded", "SELECT o_orderkey, CAST((o_totalprice > 100000)::INT + (o_totalprice > 300000)::INT AS INTEGER) AS partition, true AS in_order FROM orders")
 def sort_bounded(spark, sf_dir):
-    from millrace.sinks import bounded_sorted
+    """Orders by price in partitions with given bounds: where each row lies, and whether it lies behind the one ahead of it."""
+    rows = bounded_sorted(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", [100000.0, 300000.0])
+    return in_order(rows.withColumn("partition", F.spark_partition_id()), c("o_totalprice")).select("o_orderkey", "partition", "in_order")
 
-    return bounded_sorted(table(spark, sf_dir, "orders"), "o_totalprice", [100000.0, 300000.0]).groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
+
+@query("sort_local", "SELECT event_id, true AS in_order FROM events")
+def sort_local(spark, sf_dir):
+    """Events sorted by type, then by falling value, in each partition by itself."""
+    rows = local_sorted(table(spark, sf_dir, "events").select("event_id", "event_type", "value").repartition(5, "user_id"), "event_type", F.desc("value"))
+    return in_order(rows, c("event_type"), -c("value")).select("event_id", "in_order")
+
+
+_select("fn_find_from", "part", "SELECT p_partkey, CAST(CASE WHEN instr(substr(p_name, 4), 'e') = 0 THEN -1 ELSE instr(substr(p_name, 4), 'e') + 2 END AS INTEGER) AS at FROM part", lambda: ["p_partkey", fn.find(c("p_name"), "e", 3).alias("at")])
+_select("fn_list_more", "part", f"SELECT p_partkey, array_to_string(['x'] || {_W}[2:], ' ') AS replaced, CAST(CASE WHEN list_contains({_W}, 'red') THEN len({_W}) - list_position(list_reverse({_W}), 'red') ELSE -1 END AS BIGINT) AS last FROM part", lambda: ["p_partkey", F.array_join(fn.list_set(_words(), 0, F.lit("x")), " ").alias("replaced"), fn.last_index_of(_words(), "red").cast("long").alias("last")])
+_select("fn_map_more", "supplier", "SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) || ',new,1' AS joined, 'k,n,x' AS entries FROM supplier", lambda: ["s_suppkey", F.concat_ws(",", F.element_at(_both(), "k"), F.element_at(_both(), "n"), F.element_at(_both(), "x")).alias("joined"), F.array_join(F.transform(F.array_sort(F.map_entries(_both())), lambda e: e["key"]), ",").alias("entries")])
+_select("fn_powers", "lineitem", "SELECT l_orderkey, l_linenumber, CAST(floor(log2(l_linenumber)) AS BIGINT) AS log, (l_linenumber & (l_linenumber - 1)) = 0 AS power, CAST(pow(2, ceil(log2(l_linenumber))) AS BIGINT) AS up FROM lineitem", lambda: ["l_orderkey", "l_linenumber", fn.log2_floor(c("l_linenumber").cast("long")).cast("long").alias("log"), fn.is_power_of_two(c("l_linenumber")).alias("power"), fn.next_power_of_two(c("l_linenumber").cast("long")).alias("up")])
+
+
+@query("project_hash_id", "SELECT count(*) AS n, count(DISTINCT c_name) AS ids FROM customer")
+def project_hash_id(spark, sf_dir):
+    """Names as 64-bit ids: as many as there are names."""
+    return table(spark, sf_dir, "customer").select(fn.hash_id(c("c_name")).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
+def _both():
+    return fn.map_put_all(_map(), F.create_map(F.lit("n"), F.lit("new"), F.lit("x"), F.lit("1")))

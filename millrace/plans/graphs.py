@@ -43,12 +43,47 @@ def adjacency_directed(spark, sf_dir):
     return graph.adjacency_lists(edges(spark, sf_dir), both=False).select("vid", F.array_join("neighbours", ",").alias("neighbours"))
 
 
-@query("components", f"""WITH RECURSIVE {BOTH_SQL}, reach(vid, cid) AS (SELECT src, src FROM both_ways UNION SELECT b.dst, r.cid FROM reach r JOIN both_ways b ON b.src = r.vid)
-    SELECT vid, min(cid) AS cid FROM reach GROUP BY vid""")
+_COMPONENTS = f"""WITH RECURSIVE {BOTH_SQL}, reach(vid, cid) AS (SELECT src, src FROM both_ways UNION SELECT b.dst, r.cid FROM reach r JOIN both_ways b ON b.src = r.vid)
+    SELECT vid, min(cid) AS cid FROM reach GROUP BY vid"""
+
+
+@query("components", _COMPONENTS)
 def components(spark, sf_dir):
     return graph.components(edges(spark, sf_dir))
 
 
+@query("components_delta", _COMPONENTS)
+def components_delta(spark, sf_dir):
+    return graph.components_delta(edges(spark, sf_dir))
+
+
+@query("components_bulk", _COMPONENTS)
+def components_bulk(spark, sf_dir):
+    return graph.components_bulk(edges(spark, sf_dir))
+
+
+@query("adjacency_edges", f"WITH {BOTH_SQL} SELECT src, dst FROM both_ways")
+def adjacency_edges(spark, sf_dir):
+    """Directed lists, back to edges in both directions."""
+    return graph.adjacency_edges(graph.adjacency_lists(edges(spark, sf_dir), both=False))
+
+
+@query("metis_lines", f"""WITH {BOTH_SQL}, lists AS (SELECT src, string_agg(dst, ' ' ORDER BY dst) AS text FROM both_ways WHERE src > 0 AND dst > 0 GROUP BY src), size AS (SELECT max(src) AS n FROM lists)
+    SELECT 0 AS line, n || ' ' || (SELECT count(*) // 2 FROM both_ways WHERE src > 0 AND dst > 0) AS text FROM size
+    UNION ALL SELECT r.range, coalesce(l.text, '') FROM size, range(1, size.n + 1) r LEFT JOIN lists l ON l.src = r.range""")
+def metis_lines(spark, sf_dir):
+    return graph.metis_lines(edges(spark, sf_dir).where("src > 0 AND dst > 0"))
+
+
+@query("metis_partition", f"WITH {EDGES_SQL}, v AS (SELECT src AS vid FROM edges UNION SELECT dst FROM edges) SELECT vid, CASE WHEN vid > 0 THEN CAST(vid % 4 AS INTEGER) END AS part FROM v")
+def metis_partition(spark, sf_dir):
+    """Vertices with their parts; vertex 0 is none of METIS's."""
+    e = edges(spark, sf_dir)
+    vertices = e.select(F.col("src").alias("vid")).union(e.select("dst")).distinct()
+    parts = spark.range(1, 100_000).select(F.col("id").alias("line"), (F.col("id") % 4).cast("int").alias("part"))
+    return graph.metis_partition(vertices, parts)
+
+
 def _pagerank_sql(rounds: int) -> str:
     parts = [f"WITH {EDGES_SQL}, v AS (SELECT src AS vid FROM edges UNION SELECT dst FROM edges), n AS (SELECT count(*) AS n FROM v), deg AS (SELECT src, count(*) AS d FROM edges GROUP BY src), r0 AS (SELECT vid, 1.0::DOUBLE / n AS rank FROM v, n)"]
     for k in range(1, rounds + 1):

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace import operators as O
+from millrace.functions import year_is
 from millrace.plans.catalog import query
 from millrace.sources.tables import table
 
@@ -66,6 +67,62 @@ def reduce_combine(spark, sf_dir):
     return O.combine_reduce(rows, "o_orderpriority", combine, "o_orderpriority string, n long, top double")
 
 
+@query("reduce_sorted", "SELECT o_custkey, count(*) AS n, max(gap) AS gap FROM (SELECT o_custkey, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS gap FROM orders) GROUP BY o_custkey")
+def reduce_sorted(spark, sf_dir):
+    """Secondary sort: the largest rise of price from one order of a customer to the next, seen row by row."""
+
+    def rises(key, rows):
+        n, last, best = 0, None, None
+        for r in rows:
+            n += 1
+            if last is not None and (best is None or r.o_totalprice - last > best):
+                best = r.o_totalprice - last
+            last = r.o_totalprice
+        yield (*key, n, best)
+
+    return O.sorted_reduce(_orders(spark, sf_dir), "o_custkey", "o_orderkey", rises, "o_custkey long, n long, gap double", reads=["o_custkey", "o_orderkey", "o_totalprice"])
+
+
+@query("reduce_ordered", "SELECT s_nationkey, string_agg(s_suppkey, ',' ORDER BY s_acctbal, s_suppkey) AS keys FROM supplier GROUP BY s_nationkey")
+def reduce_ordered(spark, sf_dir):
+    """An opaque function over sorted groups."""
+    join = lambda g: pd.DataFrame({"s_nationkey": [g.s_nationkey.iloc[0]], "keys": [",".join(map(str, g.s_suppkey))]})
+    return O.reduce_(table(spark, sf_dir, "supplier"), "s_nationkey", fn=join, schema="s_nationkey int, keys string", reads=["s_nationkey", "s_suppkey", "s_acctbal"], order=["s_acctbal", "s_suppkey"])
+
+
+class _Scaled:
+    """A function with a set-up, which it needs."""
+
+    def open(self):
+        self.factor = 3
+
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": rows.s_suppkey, "v": rows.s_nationkey * self.factor})
+
+    def close(self):
+        del self.factor
+
+
+@query("map_with_setup", "SELECT s_suppkey AS k, s_nationkey * 3 AS v FROM supplier")
+def map_with_setup(spark, sf_dir):
+    """A function that opens and closes, and makes just one row of each."""
+    return O.map_(table(spark, sf_dir, "supplier"), fn=_Scaled(), schema="k long, v int", reads=["s_suppkey", "s_nationkey"], rows_out=(1, 1))
+
+
+@query("match_python", "SELECT s_suppkey AS k, length(n_name) + s_nationkey AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def match_python(spark, sf_dir):
+    """An opaque function over the pairs of a join."""
+    size = lambda pairs: pd.DataFrame({"k": pairs.s_suppkey, "v": pairs.n_name.str.len() + pairs.s_nationkey})
+    return O.match(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"), "s_nationkey", "n_nationkey", F.col("s_suppkey"), F.col("s_nationkey"), F.col("n_name"), fn=size, schema="k long, v long", hints=O.Hints(rows=25, row_bytes=40))
+
+
+@query("cross_python", "SELECT s_suppkey * n_nationkey AS v FROM supplier, nation WHERE n_regionkey = 1")
+def cross_python(spark, sf_dir):
+    """An opaque function over a Cartesian product; one side is counted and broadcast."""
+    times = lambda pairs: pd.DataFrame({"v": pairs.s_suppkey * pairs.n_nationkey})
+    return O.cross(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation").where("n_regionkey = 1"), F.col("s_suppkey"), F.col("n_nationkey"), small="right", fn=times, schema="v long")
+
+
 _MATCH = "SELECT o_orderkey + 1 AS k, l_linenumber - 1 AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'"
 
 
@@ -89,6 +146,12 @@ def match_broadcast(spark, sf_dir):
     return O.match(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), "c_nationkey", "n_nationkey", F.col("c_custkey"), F.col("n_name"), strategy="broadcast")
 
 
+@query("match_memory_hash", "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def match_memory_hash(spark, sf_dir):
+    """A hash table that lies in memory as a whole: the five regions."""
+    return O.match(table(spark, sf_dir, "nation"), table(spark, sf_dir, "region"), "n_regionkey", "r_regionkey", F.col("n_nationkey"), F.col("r_name"), strategy="memory_hash")
+
+
 @query("match_composite", "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_returnflag = 'R'")
 def match_composite(spark, sf_dir):
     a = _lines(spark, sf_dir).where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"))
@@ -98,7 +161,7 @@ def match_composite(spark, sf_dir):
 @query("cross_filter", "SELECT s_suppkey + n_nationkey AS k, s_nationkey - n_regionkey AS v FROM supplier, nation WHERE s_nationkey + n_nationkey <= 12")
 def cross_filter(spark, sf_dir):
     """The 25 nations are broadcast."""
-    return O.cross(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"), (F.col("s_suppkey") + F.col("n_nationkey")).alias("k"), (F.col("s_nationkey") - F.col("n_regionkey")).alias("v"), where=F.col("s_nationkey") + F.col("n_nationkey") <= 12)
+    return O.cross(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"), (F.col("s_suppkey") + F.col("n_nationkey")).alias("k"), (F.col("s_nationkey") - F.col("n_regionkey")).alias("v"), where=F.col("s_nationkey") + F.col("n_nationkey") <= 12, small="right")
 
 
 @query("theta_join", "SELECT r_regionkey, n_nationkey FROM region JOIN nation ON n_nationkey > r_regionkey * 4")
@@ -152,12 +215,12 @@ def self_match_full(spark, sf_dir):
 
 @query("anti_customers", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1997)")
 def anti_customers(spark, sf_dir):
-    return O.anti(table(spark, sf_dir, "customer"), _orders(spark, sf_dir).where(F.year("o_orderdate") == 1997), "c_custkey", "o_custkey").select("c_custkey")
+    return O.anti(table(spark, sf_dir, "customer"), _orders(spark, sf_dir).where(year_is(F.col("o_orderdate"), 1997)), "c_custkey", "o_custkey").select("c_custkey")
 
 
 @query("semi_customers", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1997)")
 def semi_customers(spark, sf_dir):
-    return O.semi(table(spark, sf_dir, "customer"), _orders(spark, sf_dir).where(F.year("o_orderdate") == 1997), "c_custkey", "o_custkey").select("c_custkey")
+    return O.semi(table(spark, sf_dir, "customer"), _orders(spark, sf_dir).where(year_is(F.col("o_orderdate"), 1997)), "c_custkey", "o_custkey").select("c_custkey")
 
 
 def _outer(side):

@@ -26,6 +26,39 @@ def records(df: DataFrame, path: str, columns: Sequence[str] | None = None, deli
     lines(df, path, F.concat(line, F.lit(delimiter)) if trailing else line, record_delimiter)
 
 
+def word_counts(df: DataFrame, path: str, word: str = "word", count: str = "n") -> None:
+    """Lines ``word count``."""
+    lines(df, path, F.concat_ws(" ", word, F.col(count).cast("string")))
+
+
+def ranked_pages(df: DataFrame, path: str, rank: str = "rank", url: str = "url", duration: str = "duration") -> None:
+    """Lines ``rank|url|duration|``."""
+    records(df, path, [rank, url, duration], trailing=True)
+
+
+def triangles(df: DataFrame, path: str, corners: Sequence[str] = ("a", "b", "c")) -> None:
+    """Lines ``a,b,c``."""
+    records(df, path, corners, delimiter=",")
+
+
+def edges_with_degrees(df: DataFrame, path: str) -> None:
+    """Lines ``src,degree|dst,degree`` of (src, src_degree, dst, dst_degree)."""
+    side = lambda v, d: F.concat_ws(",", F.col(v).cast("string"), F.col(d).cast("string"))
+    lines(df, path, F.concat_ws("|", side("src", "src_degree"), side("dst", "dst_degree")))
+
+
+def paths(df: DataFrame, path: str) -> None:
+    """Lines ``from|to|length|hop count|hop|...|`` of (from, to, length, hops)."""
+    head = [F.col(c).cast("string") for c in ("from", "to", "length")]
+    lines(df, path, F.concat(F.concat_ws("|", *head, F.size("hops").cast("string"), F.col("hops").cast("array<string>")), F.lit("|")))
+
+
+def points(df: DataFrame, path: str) -> None:
+    """Lines ``id|x|y|...|`` of (id, coords), two digits after the point."""
+    coords = F.transform("coords", lambda x: F.format_string("%.2f", x))
+    lines(df, path, F.concat(F.concat_ws("|", F.col("id").cast("string"), coords), F.lit("|")))
+
+
 def blocks(df: DataFrame, path: str) -> None:
     """Block-structured binary output."""
     df.write.mode("overwrite").parquet(path)
@@ -43,10 +76,10 @@ def global_sorted(df: DataFrame, *order: Column | str, partitions: int | None =
 
 
 def bounded_sorted(df: DataFrame, key: str, bounds: Sequence) -> DataFrame:
-    """A total order with given partition bounds (a data distribution): column ``partition`` is the number of bounds
-    that a key exceeds."""
+    """A total order with given partition bounds (a data distribution): a row goes to the partition whose number is the number
+    of bounds that its key exceeds, and each partition is sorted."""
     part = sum(((F.col(key) > F.lit(b)).cast("int") for b in bounds), F.lit(0))
-    return df.withColumn("partition", part).repartitionByRange(len(bounds) + 1, "partition").sortWithinPartitions("partition", key)
+    return df.repartitionById(len(bounds) + 1, F.coalesce(part, F.lit(0))).sortWithinPartitions(key)
 
 
 def noop(df: DataFrame) -> None:

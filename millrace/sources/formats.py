@@ -6,6 +6,7 @@ from __future__ import annotations
 import struct
 import subprocess
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,12 +24,13 @@ def text(spark: SparkSession, path: str, delimiter: str = "\n", charset: str = "
     return spark.read.schema("line string").options(**options).csv(path)
 
 
-def records(spark: SparkSession, path: str, schema: str | T.StructType, delimiter: str = ",", positions: Sequence[int] | None = None, record_delimiter: str = "\n", decimal: str = ".", quote: str | None = None, leading_delimiter: bool = False) -> DataFrame:
+def records(spark: SparkSession, path: str, schema: str | T.StructType, delimiter: str = ",", positions: Sequence[int] | None = None, record_delimiter: str = "\n", decimal: str = ".", quote: str | None = None, leading_delimiter: bool = False, exponent: bool = True) -> DataFrame:
     """Delimited records with typed fields.
 
     ``positions`` are the text positions of the schema's fields (default: the first ones), so that only those are
-    parsed and in that order. Surplus fields are ignored; records with a missing or malformed field are skipped. ``quote``
-    is stripped from text fields; ``leading_delimiter`` drops one delimiter at the start of a line."""
+    parsed and in that order. Surplus fields are ignored; records with a missing or malformed field are skipped. A text
+    field may stand between ``quote`` characters and then hold delimiters; ``leading_delimiter`` drops one delimiter at the start
+    of a line; without ``exponent`` numbers like 1e3 are malformed."""
     fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
     at = list(positions) if positions is not None else list(range(len(fields)))
     if len(at) != len(fields):
@@ -36,13 +38,16 @@ def records(spark: SparkSession, path: str, schema: str | T.StructType, delimite
     line = F.col("value")
     if leading_delimiter:
         line = F.when(line.startswith(delimiter), F.substring(line, len(delimiter) + 1, 2**31 - 1)).otherwise(line)
-    parts = spark.read.text(path, lineSep=record_delimiter).select(split_line(line, delimiter).alias("f"))
+    # with quotes: delimiters with an even number of quote characters behind them
+    q = rf"\Q{quote}\E" if quote else ""
+    split = F.split(line, rf"\Q{delimiter}\E(?=(?:[^{quote}]*{q}[^{quote}]*{q})*[^{quote}]*$)") if quote else split_line(line, delimiter)
+    parts = spark.read.text(path, lineSep=record_delimiter).select(split.alias("f"))
 
     def field(f: T.StructField, i: int) -> Column:
         raw = F.get("f", F.lit(i))
         if isinstance(f.dataType, T.StringType):
             return F.regexp_replace(raw, f"^{quote}(.*){quote}$", "$1") if quote else raw
-        return parse_number(raw, f.dataType.simpleString(), decimal)
+        return parse_number(raw, f.dataType.simpleString(), decimal, exponent)
 
     typed = parts.select(*[field(f, i).alias(f.name) for f, i in zip(fields, at)])
     return typed.dropna(how="any")
@@ -50,11 +55,13 @@ def records(spark: SparkSession, path: str, schema: str | T.StructType, delimite
 
 def fixed_length(spark: SparkSession, path: str, length: int, fields: Sequence[tuple[str, int, int, str]]) -> DataFrame:
     """Binary records of ``length`` bytes. ``fields`` are (name, offset, width, kind): int (big-endian, signed), text
-    (ASCII) or binary. Bytes after the last complete record of a file are an error."""
-    rows = spark.read.format("binaryFile").load(path).select("content", F.length("content").alias("n"))
-    whole = F.when(F.col("n") % length == 0, F.col("n")).otherwise(F.raise_error(F.lit("incomplete record")).cast("int"))
-    starts = F.when(whole >= length, F.sequence(F.lit(1), whole, F.lit(length))).otherwise(F.array().cast("array<int>"))
-    record = rows.select(F.explode(starts).alias("at"), "content").select(F.substring("content", F.col("at"), F.lit(length)).alias("r"))
+    (ASCII) or binary. Files are split between records, whatever their size. Bytes after the last complete record of a file
+    are an error, found from the files' sizes alone."""
+    odd = spark.read.format("binaryFile").load(path).select("path", "length").where(F.col("length") % length != 0).first()
+    if odd is not None:
+        raise ValueError(f"incomplete record in {odd['path']}: {odd['length']} bytes")
+    # the one reader that splits at multiples of a length
+    record = spark.sparkContext.binaryRecords(path, length).map(lambda r: (bytearray(r),)).toDF("r binary")
 
     def field(offset: int, width: int, kind: str) -> Column:
         raw = F.substring("r", offset + 1, width)
@@ -70,7 +77,7 @@ def fixed_length(spark: SparkSession, path: str, length: int, fields: Sequence[t
 
 
 def binary_ints(spark: SparkSession, path: str) -> DataFrame:
-    """Files of 4-byte integers: column ``value``."""
+    """Files of 4-byte big-endian integers: column ``value``."""
     return fixed_length(spark, path, 4, [("value", 0, 4, "int")])
 
 
@@ -90,13 +97,13 @@ def external_process(spark: SparkSession, commands: Sequence[str], allowed_exit_
             for command in batch["command"]:
                 with subprocess.Popen(command, shell=True, stdout=subprocess.PIPE) as process:
                     if record_length is None:
-                        for line in process.stdout:
-                            yield pd.DataFrame({"command": [command], "record": [line.rstrip(b"\n")]})
+                        found = (line.rstrip(b"\n") for line in process.stdout)
                     else:
-                        while chunk := process.stdout.read(record_length):
-                            if len(chunk) < record_length:
-                                raise ValueError(f"incomplete record from {command}")
-                            yield pd.DataFrame({"command": [command], "record": [chunk]})
+                        found = iter(lambda out=process.stdout: out.read(record_length), b"")
+                    while some := list(islice(found, 4096)):
+                        if record_length is not None and len(some[-1]) < record_length:
+                            raise ValueError(f"incomplete record from {command}")
+                        yield pd.DataFrame({"command": command, "record": some})
                 if process.returncode not in allowed:
                     raise RuntimeError(f"{command} ended with {process.returncode}")
 

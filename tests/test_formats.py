@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import sinks
-from millrace.sources import formats
+from millrace.session import file_splits
+from millrace.sources import custom, formats
 
 
 def put(path, content):
@@ -72,8 +73,105 @@ def test_sorted_sinks(spark):
     parts = sinks.global_sorted(df, "x", partitions=5).withColumn("p", F.spark_partition_id()).collect()
     assert [r.x for r in sorted(parts, key=lambda r: r.p)] == list(range(1000))
     assert len({r.p for r in parts}) == 5
-    bounded = sinks.bounded_sorted(df, "x", [99, 499]).groupBy("partition").count().collect()
-    assert {r.partition: r["count"] for r in bounded} == {0: 100, 1: 400, 2: 500}
+    bounded = sinks.bounded_sorted(df, "x", [99, 499]).withColumn("p", F.spark_partition_id()).collect()
+    assert [[r.x for r in bounded if r.p == k] for k in range(3)] == [list(range(100)), list(range(100, 500)), list(range(500, 1000))]
+
+
+def test_quoted_fields_and_exponents(spark, tmp_path):
+    path = put(tmp_path / "q", "1,'a,b',2\n2,c,3\n3,'',4\n4,'it''s, ok',5\n")
+    assert [tuple(r) for r in formats.records(spark, path, "n int, s string, m int", quote="'").orderBy("n").collect()] == [(1, "a,b", 2), (2, "c", 3), (3, "", 4), (4, "it''s, ok", 5)]
+    path = put(tmp_path / "e", "1e3\n7\n")
+    assert [r.x for r in formats.records(spark, path, "x double").collect()] == [1000.0, 7.0]
+    assert [r.x for r in formats.records(spark, path, "x double", exponent=False).collect()] == [7.0]
+
+
+def test_fixed_length_files_are_split(spark, tmp_path):
+    path = put(tmp_path / "big", b"".join(formats.pack_int(i) for i in range(50_000)))
+    conf, name = spark.sparkContext._jsc.hadoopConfiguration(), "mapreduce.input.fileinputformat.split.maxsize"
+    conf.set(name, "30001")
+    got = formats.binary_ints(spark, path)
+    assert got.rdd.getNumPartitions() > 5
+    conf.unset(name)
+    assert sorted(r.value for r in got.collect()) == list(range(50_000))
+
+
+class Lines(custom.InputFormat):
+    def __init__(self, log):
+        self.log = log
+
+    def splits(self):
+        return [["a", "", "b"], [], ["c"]]
+
+    def open(self, split):
+        self.split = split
+
+    def records(self):
+        for line in self.split:
+            yield (line,) if line else None
+
+    def close(self):
+        with open(self.log, "a") as f:
+            f.write("closed\n")
+
+
+def test_user_formats(spark, tmp_path):
+    df = custom.read(spark, Lines(str(tmp_path / "log")), "line string")
+    assert sorted(r.line for r in df.collect()) == ["a", "b", "c"]
+    assert (tmp_path / "log").read_text() == "closed\n" * 3
+    assert df.rdd.getNumPartitions() == 3
+    made = custom.generate(spark, lambda split, splits: iter([(split, splits)]), 4, "split int, splits int")
+    assert sorted(map(tuple, made.collect())) == [(k, 4) for k in range(4)]
+    out = []
+    custom.local_sink(spark, lambda rows: out.append(rows.count()), "x int", batch=3)(iter([(k,) for k in range(7)]))
+    assert out == [3, 3, 1] and sorted(custom.local_rows(made)) == [(k, 4) for k in range(4)]
+
+
+def test_statistics_follow_the_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).write.parquet(path)
+    first = custom.statistics(spark, path)
+    assert first["rows"] == 100 and first["row_bytes"] == first["bytes"] / 100
+    spark.range(50).write.mode("append").parquet(path)
+    assert custom.statistics(spark, path)["rows"] == 150
+
+
+def test_example_sinks(spark, tmp_path):
+    read = lambda name: sorted(r.value for r in spark.read.text(str(tmp_path / name)).collect())
+    sinks.points(spark.createDataFrame([(1, [1.0, 2.345])], "id int, coords array<double>"), str(tmp_path / "p"))
+    sinks.paths(spark.createDataFrame([("a", "b", 2, ["c", "d"]), ("x", "y", 1, [])], "from string, to string, length int, hops array<string>"), str(tmp_path / "q"))
+    sinks.edges_with_degrees(spark.createDataFrame([(1, 4, 2, 3)], "src long, src_degree long, dst long, dst_degree long"), str(tmp_path / "d"))
+    sinks.word_counts(spark.createDataFrame([("w", 3)], "word string, n long"), str(tmp_path / "w"))
+    assert (read("p"), read("q"), read("d"), read("w")) == (["1|1.00|2.35|"], ["a|b|2|2|c|d|", "x|y|1|0|"], ["1,4|2,3"], ["w 3"])
+    sinks.noop(spark.range(5))
+
+
+def test_sorted_records_and_splits(spark, tmp_path):
+    assert [tuple(r) for r in formats.sort_records(spark, put(tmp_path / "s", "0123456789rest\n")).collect()] == [("0123456789", "rest")]
+    path = put(tmp_path / "many", "line\n" * 20_000)
+    with file_splits(spark, most_bytes=10_000):
+        assert spark.read.text(path).rdd.getNumPartitions() >= 10
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert before != "10000"
+
+
+def test_plan_as_json(spark):
+    import json
+
+    from millrace.__main__ import plan_json
+
+    nodes = json.loads(plan_json(spark.range(5).where("id > 2")))
+    assert nodes and all("num-children" in n for n in nodes)
+
+
+def test_stream_window_counts(spark, tmp_path):
+    from millrace.streaming import follow, windowed_counts
+
+    rows = spark.sql("SELECT * FROM VALUES (TIMESTAMP '2024-01-01 00:00:10', 'a'), (TIMESTAMP '2024-01-01 00:00:50', 'a'), (TIMESTAMP '2024-01-01 00:01:10', 'b') AS t(ts, k)")
+    rows.write.parquet(str(tmp_path / "in"))
+    counts = windowed_counts(follow(spark, str(tmp_path / "in"), rows.schema), "ts", ["k"], "1 minute", "1 minute")
+    query = counts.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination(60)
+    assert sorted((r.k, r.n) for r in spark.table("windows").collect()) == [("a", 2), ("b", 1)]
 
 
 def test_generators(spark):

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
+from millrace.operators import delta, graph
 from millrace.plans import all_queries
 from tests.compare import rows
 
@@ -48,3 +49,49 @@ def test_pagerank_runs_all_rounds(spark, events):
     got = QUERIES["pagerank"](spark, folder).toPandas()
     assert dict(zip(got.vid, got["rank"])) == pytest.approx(want, abs=1e-9)
     assert rows(got) == rows(c.sql(SQL["pagerank"]).df())
+
+
+@pytest.fixture(scope="module")
+def long_path(spark):
+    """A path of 1,000 vertices, a cycle, a star, a loop and two vertices."""
+    pairs = [(i, i + 1) for i in range(999)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)] + [(3000, 3000 + i) for i in range(1, 40)] + [(4000, 4000), (5001, 5000)]
+    want = {i: 0 for i in range(1000)} | {2000 + i: 2000 for i in range(50)} | {3000 + i: 3000 for i in range(40)} | {4000: 4000, 5000: 5000, 5001: 5000}
+    return spark.createDataFrame(pairs, "src long, dst long").cache(), want
+
+
+def test_components_of_a_long_path(long_path):
+    edges, want = long_path
+    assert {r.vid: r.cid for r in graph.components(edges).collect()} == want
+
+
+@pytest.mark.parametrize("form", ["components_delta", "components_bulk"])
+def test_component_forms_agree(spark, form):
+    pairs = [(i, i + 1) for i in range(12)] + [(20, 30), (30, 25), (40, 40)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    want = {i: 0 for i in range(13)} | {20: 20, 30: 20, 25: 20, 40: 40}
+    assert {r.vid: r.cid for r in getattr(graph, form)(edges).collect()} == want
+    assert getattr(graph, form)(edges.limit(0)).count() == 0
+
+
+def test_closure_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, real=graph.cut_lineage: rounds.append(1) or real(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (201, 200)], "src long, dst long")
+    got = {(r.src, r.dst) for r in graph.transitive_closure(edges).collect()}
+    assert got == {(i, j) for i in range(101) for j in range(i + 1, 101)} | {(a, b) for a in (200, 201) for b in (200, 201)}
+    assert len(rounds) <= 2 * 9 + 1
+
+
+def test_metis_form(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 4), (4, 4)], "src long, dst long")
+    assert [r.text for r in graph.metis_lines(edges).orderBy("line").collect()] == ["4 2", "2", "1 4", "", "2"]
+    assert [r.text for r in graph.metis_lines(edges.limit(0)).collect()] == ["0 0"]
+
+
+def test_delta_iteration_may_be_limited(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
+    both = graph.undirected(edges)
+    start = both.select(both.src.alias("vid")).distinct().selectExpr("vid", "vid AS cid")
+    step = lambda workset, _: workset.join(both, workset.vid == both.src).selectExpr("dst AS vid", "cid")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        delta(start, start, step, "vid", "cid", rounds=2)

@@ -7,8 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import functions as fn
 from millrace import operators as O
 from millrace.operators import graph
+from millrace.operators.ordering import in_order, placed
 
 
 def kv(spark, pairs):
@@ -102,3 +104,100 @@ def test_empty_inputs(spark):
     assert O.union(empty, empty).count() == 0
     assert O.match(empty, empty.toDF("a", "b"), "k", "a").count() == 0
     assert graph.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def formatted(df):
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def test_year_ranges_reach_the_scan(spark, sf_dir):
+    from millrace.plans import all_queries
+
+    queries = all_queries()[0]
+    for name in ("filter_year_after", "filter_year_equal", "q03_revenue", "q10_returns", "anti_customers", "semi_customers"):
+        assert "GreaterThanOrEqual(o_orderdate" in formatted(queries[name](spark, sf_dir)), name
+    dates = spark.sql("SELECT explode(sequence(TIMESTAMP '1996-12-31 22:00:00', TIMESTAMP '1999-01-01 02:00:00', INTERVAL 1 HOUR)) AS t")
+    for year in (1996, 1997, 1998, 1999):
+        assert dates.where(fn.year_is(F.col("t"), year)).count() == dates.where(F.year("t") == year).count()
+        assert dates.where(fn.year_after(F.col("t"), year)).count() == dates.where(F.year("t") > year).count()
+
+
+def test_cross_broadcasts_only_what_it_counted(spark):
+    a, b = kv(spark, some(1, 30, 5)), kv(spark, some(2, 20, 5)).toDF("x", "y")
+    few, many = O.cross(a, b, small="right", rows=20), O.cross(a, b, small="right", rows=19)
+    assert "BroadcastNestedLoopJoin" in plan(few) and "ResolvedHint (strategy=broadcast)" not in many._jdf.queryExecution().analyzed().toString()
+    assert few.count() == many.count() == 600
+    got = O.cross(a, b, F.col("v"), F.col("y"), small="right", fn=lambda p: pd.DataFrame({"s": p.v + p.y}), schema="s long")
+    assert sorted(r.s for r in got.collect()) == sorted(v + y for _, v in some(1, 30, 5) for _, y in some(2, 20, 5))
+
+
+def test_no_second_exchange_for_grouped_input(spark):
+    df = kv(spark, some(3, 100, 9)).repartition("k")
+    assert plan(O.reduce_(O.reduce_(df, ["k", "v"], F.count(F.lit(1)).alias("n")), "k", F.sum("n").alias("n"))).count("Exchange hashpartitioning") == 1
+
+
+def test_maps_are_chained_in_one_stage(spark):
+    df = O.map_(O.map_(O.map_(spark.range(10), (F.col("id") * 2).alias("a")), (F.col("a") + 1).alias("b"), where=F.col("a") > 3), F.col("b"), where=F.col("b") < 15)
+    assert "Exchange" not in plan(df) and plan(df).count("Project") == 1
+    assert sorted(r.b for r in df.collect()) == [5, 7, 9, 11, 13]
+
+
+def test_sorted_reduce_sees_rows_in_order(spark):
+    rows = some(7, 400, 6) + [(None, 3), (None, 1)]
+
+    def values(key, group):
+        yield key[0], ",".join(str(int(r.v)) for r in group)
+
+    got = {r.k: r.s for r in O.sorted_reduce(kv(spark, rows), "k", "v", values, "k int, s string").collect()}
+    assert got == {key: ",".join(str(v) for k, v in sorted(rows, key=lambda p: p[1]) if k == key) for key in {k for k, _ in rows}}
+    ordered = O.reduce_(kv(spark, some(7, 400, 6)), "k", fn=lambda g: pd.DataFrame({"k": [g.k.iloc[0]], "ok": [bool(g.v.is_monotonic_increasing)]}), schema="k int, ok boolean", order="v")
+    assert all(r.ok for r in ordered.collect())
+
+
+class Offset:
+    def open(self):
+        self.by = 5
+
+    def __call__(self, rows):
+        return pd.DataFrame({"v": rows.v + self.by})
+
+    def close(self):
+        self.by = None
+
+
+def test_functions_with_setup_and_declared_rows(spark):
+    df = kv(spark, some(8, 50, 5))
+    assert sorted(r.v for r in O.map_(df, fn=Offset(), schema="v int", rows_out=(1, 1)).collect()) == sorted(v + 5 for _, v in some(8, 50, 5))
+    with pytest.raises(Exception, match="declared 0 to 1"):
+        O.map_(df, fn=lambda x: pd.concat([x, x])[["v"]], schema="v int", rows_out=(0, 1)).collect()
+
+
+def test_reads_prune_opaque_inputs(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    last = lambda g: pd.DataFrame({"o_custkey": [g.o_custkey.iloc[0]], "o_totalprice": [g.o_totalprice.max()]})
+    reads = ["o_custkey", "o_totalprice"]
+    one = O.combine_reduce(orders, "o_custkey", last, "o_custkey long, o_totalprice double", reads=reads)
+    two = O.cogroup(orders, orders, "o_custkey", fn=lambda a, b: last(a), schema="o_custkey long, o_totalprice double", left_reads=reads, right_reads=reads)
+    for df in (one, two):
+        assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in plan(df)
+
+
+def test_hints_choose_a_broadcast(spark):
+    a, b = kv(spark, some(3, 80, 12)), kv(spark, some(4, 80, 12)).toDF("k2", "v2")
+    hinted = lambda h: "ResolvedHint (strategy=broadcast)" in O.match(a, b, "k", "k2", hints=h)._jdf.queryExecution().analyzed().toString()
+    assert hinted(O.Hints(rows=80, row_bytes=16))
+    assert hinted(O.Hints(distinct=12, rows_per_key=7, row_bytes=16, selectivity=0.5))
+    assert not hinted(O.Hints(rows=10**9, row_bytes=16)) and not hinted(O.Hints(rows=5)) and not hinted(None)
+
+
+def test_places_and_order(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("x"))
+    got = placed(df.repartition(7).orderBy("x")).collect()
+    assert [r.place for r in sorted(got, key=lambda r: r.x)] == list(range(1, 5001))
+    assert not in_order(df, F.col("x")).where("NOT in_order").isEmpty()
+    assert in_order(df.sortWithinPartitions("x"), F.col("x")).where("NOT in_order").isEmpty()
