@@ -9,7 +9,7 @@ from millrace import sinks
 from millrace.operators import temp
 from millrace.operators.iterate import shared_folder
 from millrace.plans.catalog import query
-from millrace.sources import custom, formats
+from millrace.sources import blocks, custom, formats
 from millrace.sources.tables import table
 
 
@@ -40,6 +40,15 @@ def io_blocks(spark, sf_dir) -> DataFrame:
     return formats.blocks(spark, path)
 
 
+@query("io_sequential_blocks", "SELECT p_partkey, p_name, (SELECT count(*) FROM part) AS records FROM part")
+def io_sequential_blocks(spark, sf_dir) -> DataFrame:
+    """Records in blocks with footers, which also give their number."""
+    path = folder(spark)
+    blocks.write(table(spark, sf_dir, "part"), path, F.to_json(F.struct("p_partkey", "p_name")), 4096)
+    record = F.from_json(F.col("record").cast("string"), "p_partkey long, p_name string").alias("r")
+    return blocks.read(spark, path, 4096).select(record).select("r.*", F.lit(blocks.count(path, 4096)).cast("long").alias("records"))
+
+
 @query("io_lenient", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE '' END AS segment FROM customer")
 def io_lenient(spark, sf_dir) -> DataFrame:
     path = folder(spark)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace import sinks
 from millrace.session import file_splits
-from millrace.sources import custom, formats
+from millrace.sources import blocks, custom, formats
 
 
 def put(path, content):
@@ -126,6 +126,23 @@ def test_user_formats(spark, tmp_path):
     assert out == [3, 3, 1] and sorted(custom.local_rows(made)) == [(k, 4) for k in range(4)]
 
 
+@pytest.mark.parametrize("block_size", [29, 40, 64, 1000])
+def test_blocks_are_split_and_counted(spark, tmp_path, monkeypatch, block_size):
+    monkeypatch.setattr(blocks, "SPLIT_BLOCKS", 3)
+    path = str(tmp_path / "blocks")
+    values = [str(k) * (k % 13 if k % 50 else 300) for k in range(400)]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(3)
+    blocks.write(df, path, F.col("v"), block_size)
+    got = blocks.read(spark, path, block_size)
+    assert sorted(bytes(r.record).decode() for r in got.collect()) == sorted(values)
+    assert blocks.count(path, block_size) == 400
+    assert got.rdd.getNumPartitions() >= 3 + 3 * (block_size < 1000)
+    blocks.write(df.limit(5), path, F.col("v"), block_size)
+    assert blocks.read(spark, path, block_size).count() == 5
+    blocks.write(df.limit(2), path, F.col("v"), block_size, overwrite=False)
+    assert blocks.count(path, block_size) == 7
+
+
 def test_statistics_follow_the_files(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(100).write.parquet(path)
