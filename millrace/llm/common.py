@@ -7,10 +7,13 @@ Text operators look at a document as UTF-8 bytes in Arrow buffers: words are run
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import hashlib
 import shutil
 import tempfile
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +42,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = mix(np.arange(256, dtype=U64) + U64(0x51ED))
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, dtype=U64)
-    if n > 1:
-        out[1:] = U64(base)
-        np.multiply.accumulate(out, out=out)
-    return out
+#: Words of up to so many bytes are hashed with numpy, eight bytes at a time.
+SHORT = 64
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +53,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder the cluster names in ``spark.checkpoint.dir``; make one only where none is set (tests)."""
+    """Keep the folder the cluster names in ``spark.checkpoint.dir``; make one only where none is set and all runs in one
+    process (tests). On a cluster a folder of the driver's machine would be no shared one: an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="millrace-checkpoint-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
@@ -73,10 +73,55 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """The table (of a few numbers a row) marked for broadcast if it has at most so many rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of steps whose results were cut off and that nothing refers to."""
+    """Between the steps of a long job: let Spark's cleaner delete shuffle files and broadcasts that nothing refers to, and let
+    the executors' heaps shrink to what is in use. A heap that has grown stays so otherwise, and later steps' Python
+    workers need their memory beside it."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
+def give_back() -> None:
+    """Return memory that Python and Arrow hold free to the system: workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of a partition's batches that gives free memory back when it ends."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python get at most ``rows`` rows at a time (a session setting): a batch of whole texts lies in the JVM's, Arrow's and
+    Python's memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -88,9 +133,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20, max_rows: int = 1024) -> Iterator[tuple[int, int]]:
+def text_chunks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20, max_rows: int = 1024) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts hold about ``max_bytes`` bytes each (a longer text stands alone)."""
-    offs = text_offsets(batch.column(column))
+    yield from chunks(batch.column(column), max_bytes, max_rows)
+
+
+def chunks(col: pa.Array, max_bytes: int = 1 << 20, max_rows: int = 1024) -> Iterator[tuple[int, int]]:
+    """The same for a column."""
+    offs = text_offsets(col)
     i, n = 0, len(offs) - 1
     while i < n:
         j = int(np.searchsorted(offs, offs[i] + max_bytes, side="right")) - 1
@@ -140,12 +190,23 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, from prefix sums of byte values times powers of an odd base (mod 2^64)."""
-    if len(s) == 0:
-        return np.zeros(0, dtype=U64)
-    prefix = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=prefix[1:])
-    return mix((prefix[e] - prefix[s]) * powers(_BASE_INV, len(data))[s] + (e - s).astype(U64))
+    """A 64-bit hash of each span. Up to ``SHORT`` bytes: eight at a time, each eight mixed in by a bijection, so that words of
+    up to eight bytes can't collide at one length and longer ones have no algebraic structure; longer spans: BLAKE2b."""
+    n = e - s
+    h = mix(n.astype(U64) + U64(0x51ED))
+    if len(data) == 0 or len(s) == 0:
+        return h
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(data), dtype="<u8", buffer=padded, strides=(1,))
+    live, at = np.flatnonzero((n > 0) & (n <= SHORT)), 0
+    while len(live):
+        part = eight[s[live] + at] & _FIRST[np.minimum(n[live] - at, 8)]
+        h[live] = mix(h[live] * U64(_BASE) ^ part)
+        at += 8
+        live = live[n[live] > at]
+    for i in np.flatnonzero(n > SHORT):
+        h[i] = U64(int.from_bytes(hashlib.blake2b(data[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little"))
+    return h
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -161,3 +222,10 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
+
+
+def column_function(run: Callable[[Iterator], Iterator], kind):
+    """A column function from an iterator over Arrow columns (tuples of them for several arguments) to one over Arrow arrays."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the kind is stated, not hinted
+        return F.arrow_udf(tidy(run), kind, F.ArrowUDFType.SCALAR_ITER)

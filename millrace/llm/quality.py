@@ -7,9 +7,10 @@ text are computed for whole Arrow batches with numpy: one hashed bucket per dist
 statistic (letter case, symbols, repetition of words, lines and trigrams, lengths), one bin for the metadata column
 ``n_chars``. Language, source and ids are never features.
 
-Fitting: labelled rows outside the held-out quarter, at most ``max_rows`` of them by order of a hash of the id (the
-one bound; documented parameter), are turned into sparse features on the executors and fitted on the driver by
-AdaGrad. Scoring covers every whole text.
+Fitting: labelled documents outside the held-out quarter, at most ``max_rows`` of them and ``max_features`` features in
+all, by order of a hash of the id (documented parameters; they bound what the driver gets, 8 bytes a feature), are
+turned into sparse features on the executors and fitted on the driver by AdaGrad. Scoring covers every whole text; only
+the text and one number of a row go to Python, and one number comes back.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import LOWER, U64, gram_hashes, held_out, mix, text_bytes, text_chunks, word_hashes, word_spans
+from millrace.llm.common import LOWER, U64, chunks, column_function, cut, gram_hashes, held_out, mix, small_batches, text_bytes, text_chunks, tidy, word_hashes, word_spans
 
 BUCKETS = 1 << 15
 BINS = 24
@@ -130,9 +131,11 @@ def _inputs(df: DataFrame, id_col: str, text_col: str) -> list:
     return [df[id_col].alias("doc_id"), df[text_col].alias("text"), F.coalesce(F.when(meta >= 0, meta), F.lit(0.0)).alias("n_chars")]
 
 
-def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 8000, epochs: int = 12, seed: int = 7, text_col: str = "text") -> Model:
-    """Fit on at most ``max_rows`` labelled documents outside the held-out quarter (repeated labels of an id: the
-    largest; null labels and texts are not learned from). Without any such row the model scores everything 0.5."""
+def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 8000, epochs: int = 12, seed: int = 7, text_col: str = "text", max_features: int = 4_000_000) -> Model:
+    """Fit on at most ``max_rows`` labelled documents outside the held-out quarter, as many as have ``max_features`` features
+    together. Of an id's repeated labels the largest counts, of its repeated rows one, that with the least features; null
+    ids, labels and texts are not learned from. Without any such row, as from empty tables, the model scores everything 0.5."""
+    small_batches(df.sparkSession)
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(label_col).cast("double").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = df.select(*_inputs(df, "doc_id", text_col)).where(F.col("text").isNotNull() & ~held_out("doc_id")).join(F.broadcast(chosen), "doc_id")  # at most max_rows rows are broadcast
@@ -147,9 +150,16 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows:
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (idx, val)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("__label"), *lists], names=["doc_id", "label", "idx", "val"])
 
-    table = rows.select("doc_id", "text", "n_chars", "__label").mapInArrow(run, schema).toArrow()
-    table = table.take(np.lexsort((table["label"].to_numpy(), table["doc_id"].to_numpy()))) if table.num_rows else table
-    return _train(table, epochs, seed)
+    found = rows.select("doc_id", "text", "n_chars", "__label").mapInArrow(tidy(run), schema)
+    one = found.groupBy("doc_id").agg(F.min(F.struct("label", F.size("idx").alias("n"), "idx", "val")).alias("f"))
+    one = cut(one.select(F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id").alias("at"), "f.*"))
+    sizes = sorted((tuple(r["at"]), r["n"]) for r in one.select("at", "n").collect())  # at most max_rows
+    fits = int(np.searchsorted(np.cumsum([n for _, n in sizes]), max_features, side="right"))
+    if fits < len(sizes):
+        hash_, doc_id = sizes[fits][0]
+        one = one.where(F.col("at") < F.struct(F.lit(hash_).alias("hash"), F.lit(doc_id).cast("long").alias("doc_id")))
+    table = one.select("at.doc_id", "label", "idx", "val").toArrow()
+    return _train(table.take(np.argsort(table["doc_id"].to_numpy())) if table.num_rows else table, epochs, seed)
 
 
 def _train(table: pa.Table, epochs: int, seed: int, rate: float = 0.08, decay: float = 2e-5, batch: int = 64) -> Model:
@@ -190,38 +200,36 @@ def _train(table: pa.Table, epochs: int, seed: int, rate: float = 0.08, decay: f
     return Model(float(bias), w.astype(np.float32), v.astype(np.float32))
 
 
-def score(df: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold).
-
-    Null texts count as empty, which have a score too; a null id is not held out; an empty table gives an empty
-    table; other columns, whatever their names, are not carried."""
+def _scorer(df: DataFrame, model: Model):
+    """A column function of (text, n_chars): the model's score."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # FEATURES x (FACTORS + 1) floats, whatever the data
-    schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         m = shared.value
-        for batch in batches:
-            for i, j in text_chunks(batch, "text"):
-                part = batch.slice(i, j - i)
-                r, idx, val = features(part.column("text"), part.column("n_chars").to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(m.score(r, idx, val, j - i), pa.float64())], names=["doc_id", "score"])
+        for text, size in columns:
+            parts = []
+            for i, j in chunks(text):
+                r, idx, val = features(text.slice(i, j - i), size.slice(i, j - i).to_numpy(zero_copy_only=False))
+                parts.append(m.score(r, idx, val, j - i))
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
-    scored = df.select(*_inputs(df, id_col, text_col)).mapInArrow(run, schema)
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return column_function(run, T.DoubleType())
 
 
-def keep_good(df: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns as they were, whose text scores ``threshold`` or more."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(*_inputs(df, text_col, text_col)[1:], F.struct(*[df[c] for c in df.columns]).alias("row"))
+def score(df: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for i, j in text_chunks(batch, "text"):
-                part = batch.slice(i, j - i)
-                r, idx, val = features(part.column("text"), part.column("n_chars").to_numpy(zero_copy_only=False))
-                good = m.score(r, idx, val, j - i) >= threshold
-                yield pa.RecordBatch.from_arrays([part.column("row").filter(pa.array(good))], names=["row"])
+    Null texts count as empty, which have a score too; a null id is not held out; repeated rows are scored alike; an empty
+    table gives an empty table; other columns, whatever their names, are not carried."""
+    doc_id, text, n_chars = _inputs(df, id_col, text_col)
+    scored = df.select(doc_id, _scorer(df, model)(text, n_chars).alias("score"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")
+
+def keep_good(df: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns as they were, whose text scores ``threshold`` or more. Null and empty texts have
+    a score as others have; null ids and columns of any name are carried; repeated rows stay or go together; an empty
+    table gives an empty table."""
+    _, text, n_chars = _inputs(df, text_col, text_col)
+    return df.where(_scorer(df, model)(text, n_chars) >= threshold)
