@@ -5,23 +5,25 @@ has up to ``clusters`` centroids (spherical k-means of its learned vectors); a t
 centroid by cosine. A text that lies farther from its centroid than nearly all that the centroid was made of is
 marked ``rejected``.
 
-Fitting uses a bounded sample: about ``per_language`` texts of each language by a hash of the id, outside the held-out
-quarter (documented parameter). Prediction covers every whole text.
+Fitting uses a bounded sample: about ``per_language`` texts of each of the ``max_languages`` most frequent languages, and
+about ``max_rows`` in all, by a hash of the id, outside the held-out quarter (documented parameters; a text's vector is
+``DIM`` numbers, so the driver gets 160 MB at most). Prediction covers every whole text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import held_out, text_bytes, text_chunks
+from millrace.llm.common import held_out, small_batches, text_bytes, text_chunks, tidy
 
 DIM = 2048
 UNDETERMINED = "und"
@@ -89,13 +91,21 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(df: DataFrame, clusters: int = 4, per_language: int = 600, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Centroids:
-    """Centroids of every non-null language that has a learnable text (one with a letter)."""
+def fit(df: DataFrame, clusters: int = 4, per_language: int = 600, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_languages: int = 1000, max_rows: int = 20_000) -> Centroids:
+    """Centroids of every non-null language that has a learnable text (one with a letter), of the ``max_languages`` most
+    frequent (ties: by name). Null ids, texts and languages are not learned from; repeated rows of an id are drawn
+    together, up to twice a language's share; an empty table gives a model that knows no language."""
+    small_batches(df.sparkSession)
     rows = df.select(df[id_col].alias("doc_id"), df[lang_col].cast("string").alias("lang"), df[text_col].alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
+    top = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    each = min(float(per_language), max_rows / max(1, len(langs := top.collect())))
+    share = df.sparkSession.createDataFrame([(r["lang"], each / r["n"]) for r in langs], "lang string, share double")
     draw = (F.xxhash64("doc_id", F.lit("language sample")).bitwiseAND((1 << 40) - 1)) / float(1 << 40)
-    sample = rows.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("doc_id", "lang", "text")  # one row per language is broadcast
+    sample = rows.join(F.broadcast(share), "lang").withColumn("draw", draw).where(F.col("draw") < F.col("share"))  # at most max_languages rows are broadcast
+    # an id may stand on many rows, all drawn with it
+    first = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
+    sample = sample.withColumn("k", F.row_number().over(first)).where(F.col("k") <= math.ceil(2 * each)).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +116,7 @@ def fit(df: DataFrame, clusters: int = 4, per_language: int = 600, lang_col: str
                     tf = counts(part.column("text"))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), pa.array([x.tobytes() for x in tf], pa.binary())], names=["doc_id", "lang", "tf"])
 
-    table = sample.mapInArrow(run, "doc_id long, lang string, tf binary").toArrow()
+    table = sample.mapInArrow(tidy(run), "doc_id long, lang string, tf binary").toArrow()
     lang = np.array(table["lang"].to_pylist(), dtype=object)
     if not len(lang):
         return Centroids(np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), [], np.zeros(0))
@@ -133,8 +143,9 @@ def predict(df: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: s
     ``rejected``.
 
     ``und`` with score 0 for null texts and texts without a letter, and for all if no language was learned. Ties take
-    the language that sorts first. A null id is not held out. Extra columns are not carried; an empty table gives an
+    the language that sorts first, and of its centroids the first. A null id is not held out. Extra columns are not carried; an empty table gives an
     empty table."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # clusters x languages x DIM floats
     schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
@@ -154,5 +165,5 @@ def predict(df: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: s
                     names=["doc_id", "lang_pred", "score", "rejected"],
                 )
 
-    found = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, schema)
+    found = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(tidy(run), schema)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
