@@ -5,8 +5,10 @@ in ascending order of the key are a weighted sample without replacement of any l
 complete epochs over all its documents, then by the documents that come first in that order, prefix-summed up to the
 rest of the budget; the one document at which the budget ends is taken in part.
 
-No source is ever sorted in one task: sizes are first summed by source and slice of the key's range, a running sum
-over the slices finds the one slice in which the budget ends, and only that slice's documents are sorted.
+Texts are read once: ids, sources, sizes and keys are cut off and all further steps work on them. No source is ever sorted in one
+task: sizes are summed by source and slice of the key's range, a running sum over the slices finds the one in which the
+budget ends, and that slice is sliced again until it holds few documents, whatever the weights; only those are sorted.
+What is found is one place in the order for each source, and every document is held against its source's place.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import WORD_PATTERN, cut
 
-#: Slices of the key's range by source.
+#: Slices into which a key range is cut at a time.
 SLICES = 4096
+#: Documents of a slice that are sorted.
+FEW = 10_000
 #: Sources whose sums the driver holds at most; more is an error, never a cut.
 MAX_SOURCES = 1_000_000
 
@@ -55,72 +59,105 @@ def uniform(doc_id: str, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, quality: Column | None = None, seed: str = "mix", keep: Sequence[str] = ()) -> DataFrame:
+def text_quality(text: str | Column = "text") -> Column:
+    """A document's quality weight, from 0.05 to 1: how much of its text is letters and blanks. Three times the share of
+    other characters is taken off; null and empty texts weigh least."""
+    text = F.col(text) if isinstance(text, str) else text
+    other = F.length(F.regexp_replace(text, r"[\p{L}\s]+", "")) / F.length(text)
+    return F.coalesce(F.when(F.length(text) > 0, F.greatest(F.lit(0.05), 1 - 3 * other)), F.lit(0.05))
+
+
+def _place(*columns: str) -> Column:
+    return F.struct(*(F.col(c) for c in columns))
+
+
+def _ends(drawn: DataFrame, plan: dict) -> list[tuple]:
+    """For each source with words (source, key, id, size, n, whole, rest): the place in its order at which the budget ends, where n
+    equal documents stand, of which ``whole`` are taken and ``rest`` words of one more. plan: source -> (words of the
+    incomplete epoch, largest key). The driver holds a few numbers for each source."""
+    spark = drawn.sparkSession
+    kinds = [("__of", drawn.schema["source"].dataType), ("__rest", T.DoubleType()), ("__lo", T.DoubleType()), ("__hi", T.DoubleType()), ("__base", T.LongType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in kinds])
+
+    def within(ranges: dict) -> DataFrame:
+        """Documents in their source's range of keys."""
+        rows = spark.createDataFrame([(s, plan[s][0], *ranges[s]) for s in ranges], schema)  # one row per source, MAX_SOURCES at most
+        return drawn.join(F.broadcast(rows), F.col("source").eqNullSafe(F.col("__of")) & F.col("__key").between(F.col("__lo"), F.col("__hi")))
+
+    by_source = Window.partitionBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    last = (F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("n") > F.col("__rest"))
+    found, ranges = {}, {s: (0.0, high, 0) for s, (_, high) in plan.items()}
+    while ranges:
+        width = F.col("__hi") - F.col("__lo")
+        part = F.when(width > 0, F.least(F.floor((F.col("__key") - F.col("__lo")) / width * SLICES), F.lit(SLICES - 1))).otherwise(0).cast("int")
+        slices = within(ranges).groupBy("__of", "__rest", "__base", part.alias("__slice"))
+        slices = slices.agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("__key").alias("low"), F.max("__key").alias("high"))
+        before = F.coalesce(F.sum("n").over(by_source.orderBy("__slice")), F.lit(0)) + F.col("__base")
+        ends = slices.withColumn("__before", before).where(last).collect()
+        ranges = {}
+        for r in ends:
+            (found if r["rows"] <= FEW or r["low"] == r["high"] else ranges)[r["__of"]] = (r["low"], r["high"], r["__before"])
+    if not found:
+        return []
+    equal = within(found).groupBy("__of", "__rest", "__base", "__key", "doc_id", "size").agg(F.count(F.lit(1)).alias("rows")).withColumn("n", F.col("size") * F.col("rows"))
+    before = F.coalesce(F.sum("n").over(by_source.orderBy("__key", "doc_id", "size")), F.lit(0)) + F.col("__base")
+    out = []
+    for r in equal.withColumn("__before", before).where(last).collect():
+        left = int(r["__rest"] - r["__before"])
+        out.append((r["__of"], r["__key"], r["doc_id"], r["size"], r["rows"], left // r["size"], left % r["size"]))
+    return out
+
+
+def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, quality: Column | None = None, seed: str = "mix", keep: Sequence[str] = (), size: Column | None = None) -> DataFrame:
     """One row per input row: ``doc_id``, ``source``, ``size`` (words), ``source_size``, ``target``, ``taken`` (words
     taken, repeats counted), ``epochs`` (complete copies) and ``partial`` (words of one more copy, at most one document
-    of a source), then the columns of ``keep``.
+    of a source), then the columns of ``keep``, for which the input is read a second time.
 
-    A column ``size`` is taken for the words where there is one, else they are counted in ``text``.
-    ``quality`` is a positive weight (null or less than 0.01: 0.01). Null and empty texts have size 0 and are taken 0
-    times; null sources are a source of their own, last in order; repeated rows are documents of their own; sources
-    without words have target 0; an empty table gives an empty table. Reruns agree: draws are hashes of ids.
+    ``size`` are the words (default: counted in ``text``), ``quality`` is a positive weight (null or less than 0.01: 0.01).
+    Null and empty texts have size 0 and are taken 0 times; null sources are a source of their own, last in order; repeated
+    rows are documents of their own (those at the end of a budget that are equal in id and size are told apart in one task);
+    ids that tie by key stand in order, null first; sources without words have target 0; an empty table gives an empty
+    table; other columns, whatever their names, play no part. Reruns agree: draws are hashes of ids.
     """
     weight = F.greatest(F.coalesce(quality if quality is not None else F.lit(1.0), F.lit(0.01)).cast("double"), F.lit(0.01))
-    size = F.col("size") if "size" in df.columns else n_words("text")
-    docs = df.withColumns({"__size": size, "__draw": -F.log(uniform("doc_id", seed)) / weight})
-    docs = docs.select("doc_id", "source", *keep, F.col("__size").alias("size"), F.col("__draw").alias("__key"), F.floor((1 - F.exp(-F.col("__draw"))) * SLICES).cast("int").alias("__slice"))
-
-    slices = cut(docs.groupBy("source", "__slice").agg(F.sum("size").alias("__sum")))
-    totals = slices.groupBy("source").agg(F.sum("__sum").alias("n")).limit(MAX_SOURCES + 1).collect()  # one row per source
+    size = size if size is not None else n_words("text")
+    rows = df.select("doc_id", "source", *keep, size.cast("long").alias("size"), (-F.log(uniform("doc_id", seed)) / weight).alias("__key"))
+    drawn = cut(rows.select("doc_id", "source", "size", "__key"))
+    totals = drawn.groupBy("source").agg(F.sum("size").alias("n"), F.max("__key").alias("high")).limit(MAX_SOURCES + 1).collect()  # one row per source
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = {r["source"]: int(r["n"]) for r in totals}
-    plan = targets(sizes, weights, share, cap)
-    spark = df.sparkSession
-    rows = []
-    for s, target in plan.items():
-        epochs = min(int(target // sizes[s]), int(cap)) if sizes[s] else 0
-        rows.append((s, sizes[s], float(target), epochs, float(target) - epochs * sizes[s]))
-    schema = T.StructType([T.StructField("__of", df.schema["source"].dataType)] + [T.StructField(n, t) for n, t in (("source_size", T.LongType()), ("target", T.DoubleType()), ("__epochs", T.LongType()), ("__rest", T.DoubleType()))])
-    by_source = F.broadcast(spark.createDataFrame(rows, schema))  # one row per source, at most MAX_SOURCES
-
-    before = F.sum("__sum").over(Window.partitionBy("source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
-    ends = slices.withColumn("__before", F.coalesce(before, F.lit(0))).join(by_source, F.col("source").eqNullSafe(F.col("__of")))
-    ends = ends.where((F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("__sum") > F.col("__rest")))
-    ends = ends.select(F.col("__of").alias("__s"), F.col("__slice").alias("__end"), F.col("__before").alias("__sum_before"))
-    by_source = F.broadcast(by_source.join(F.broadcast(ends), F.col("__of").eqNullSafe(F.col("__s")), "left").drop("__s"))  # one row per source still
-
-    docs = docs.join(by_source, F.col("source").eqNullSafe(F.col("__of")), "left").drop("__of")
-    at_end = F.coalesce(F.col("__slice") == F.col("__end"), F.lit(False))
-    inner = docs.where(at_end)
-    rank = Window.partitionBy("source").orderBy("__key", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
-    inner = inner.withColumn("__prefix", F.coalesce(F.sum("size").over(rank), F.lit(0)) + F.col("__sum_before"))
-    inner = inner.withColumn("partial", F.least(F.col("size"), F.greatest(F.floor(F.col("__rest") - F.col("__prefix")), F.lit(0))).cast("long"))
-    outer = docs.where(~at_end).withColumn("__prefix", F.lit(None).cast("long"))
-    outer = outer.withColumn("partial", F.when(F.col("__end").isNull() | (F.col("__slice") < F.col("__end")), F.when(F.col("__rest") > 0, F.col("size")).otherwise(0)).otherwise(0).cast("long"))
-    both = outer.unionByName(inner)
+    target = targets(sizes, weights, share, cap)
+    epochs = {s: min(int(target[s] // n), int(cap)) if n else 0 for s, n in sizes.items()}
+    ends = _ends(drawn, {r["source"]: (float(target[r["source"]]) - epochs[r["source"]] * r["n"], r["high"]) for r in totals if r["n"]})
+    end_of = {e[0]: e[1:] for e in ends}
+    kinds = [("__of", df.schema["source"].dataType), ("source_size", T.LongType()), ("target", T.DoubleType()), ("__epochs", T.LongType()), ("__end_key", T.DoubleType()), ("__end_id", df.schema["doc_id"].dataType), ("__end_size", T.LongType()), ("__equal", T.LongType()), ("__whole", T.LongType()), ("__words", T.LongType())]
+    plan = df.sparkSession.createDataFrame([(s, sizes[s], float(target[s]), epochs[s], *end_of.get(s, (None,) * 6)) for s in sizes], T.StructType([T.StructField(n, t) for n, t in kinds]))
+
+    out = (rows if keep else drawn).join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__of")), "left").drop("__of")  # one row per source
+    here, end = _place("__key", "doc_id", "size"), _place("__end_key", "__end_id", "__end_size")
+    at_end = F.col("__end_key").isNotNull() & (here == end)
+    out = out.withColumn("partial", F.when(F.col("__end_key").isNotNull() & (here < end), F.col("size")).when(at_end, F.when(F.col("__whole") > 0, F.col("size")).otherwise(F.col("__words"))).otherwise(0))
+    if any(e[4] > 1 for e in ends):  # equal documents at an end: the first are taken whole, one in part
+        tied = F.coalesce(at_end & (F.col("__equal") > 1), F.lit(False))
+        place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+        own = F.when(place <= F.col("__whole"), F.col("size")).when(place == F.col("__whole") + 1, F.col("__words")).otherwise(0)
+        out = out.where(~tied).unionByName(out.where(tied).withColumn("partial", own))
     whole = (F.col("partial") >= F.col("size")) & (F.col("size") > 0)
-    return both.select(
+    return out.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("__epochs") * F.col("size") + F.col("partial")).alias("taken"),
         (F.col("__epochs") + whole.cast("long")).alias("epochs"),
-        F.when(whole, 0).otherwise(F.col("partial")).alias("partial"),
+        F.when(whole, 0).otherwise(F.col("partial")).cast("long").alias("partial"),
         *keep,
     )
 
 
 def apply(mixed: DataFrame, row: str) -> DataFrame:
-    """The mix as documents: the struct column ``row`` of each taken document once per epoch, then once more with its
-    first words as ``text`` if it is taken in part."""
-    first = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("partial").cast("int")), " ")
+    """The mix as documents: the struct column ``row`` (with a field ``text``) of each taken document once per epoch, then once
+    more with its first words as ``text`` if it is taken in part. Documents that are not taken, among them null and empty
+    ones, go; repeated rows stay as often as they are taken; an empty table gives an empty table."""
+    first = F.array_join(F.slice(F.filter(F.split(F.col(row)["text"], r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("partial").cast("int")), " ")
     copies = F.concat(F.array_repeat(F.lit(True), F.col("epochs").cast("int")), F.array_repeat(F.lit(False), (F.col("partial") > 0).cast("int")))
     out = mixed.where(F.col("taken") > 0).withColumn("__whole", F.explode(copies))
     return out.select(F.when(F.col("__whole"), F.col(row)).otherwise(F.col(row).withField("text", first)).alias("row")).select("row.*")
-
-
-def label_weight(df: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
-    """Documents with a quality weight from labels: 1 if labelled good, 0.25 if labelled bad, 0.75 unlabelled. Words are
-    counted before the join, so that only what a step needs of the documents is shuffled."""
-    known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__labelled")).agg(F.max("quality").alias("__quality"))
-    joined = df.join(known.hint("merge"), F.col("doc_id") == F.col("__labelled"), "left")
-    return joined, F.when(F.col("__quality").isNull(), 0.75).when(F.col("__quality") > 0, 1.0).otherwise(0.25)
