@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from millrace.llm import ann, bpe, embed_dedup, jaccard, langid, licenses, mixing, pii, quality, substring
 from millrace.llm.common import read_table
 
-#: Folder of the public vocabulary files; never part of this repository.
-TOKENIZER_DIR = "/opt/tokenizers"
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def vocabulary() -> str:
+    """Place of the public vocabulary file that ``op1_bpe`` and the pipeline use; never part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
@@ -25,7 +29,7 @@ def _register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 @_register
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and the decoded text of every document."""
-    return bpe.encode_documents(read_table(spark, sf_dir, "documents"), f"{TOKENIZER_DIR}/word_bpe_49k.json", keep_ids=False, keep_text=False)
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False, keep_text=False)
 
 
 @_register
@@ -45,9 +49,8 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % of all sizes takes of every document; sources weigh 3, 1, 2, repeating."""
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words().alias("size"))
-    documents, weight = mixing.label_weight(documents, read_table(spark, sf_dir, "labels"))
-    return mixing.mix(documents, quality=weight).select("doc_id", "size", "source_size", "target", "taken", "epochs", "partial")
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), quality=mixing.text_quality())
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs", "partial")
 
 
 @_register
@@ -86,8 +89,8 @@ SQL["op3_licenses"] = licenses.scan_sql()
 @_register
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with surrogates for its personal data and secrets."""
-    found = pii.replace_pii(read_table(spark, sf_dir, "documents"))
-    return found.select(F.col("row.doc_id").alias("doc_id"), F.size("entities").cast("long").alias("n_entities"), F.transform("entities", lambda e: e["type"]).alias("types"), "n_clashes", "text")
+    found = pii.replace_pii(read_table(spark, sf_dir, "documents"), pii.session_key(spark))
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.size("entities").cast("long").alias("n_entities"), F.transform("entities", lambda e: e["type"]).alias("types"), "n_clashes", "n_repaired", "text")
 
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
