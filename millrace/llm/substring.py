@@ -11,9 +11,13 @@ so that a window and its repeats always fall into the same one:
    holds its last ``length`` words occurs twice or more.
 3. Windows found go back to their texts, where the union of the windows is removed.
 
-A shard holds one anchor's pieces at a time. Anchors of more than ``HOT`` occurrences (a passage in a third of all
-documents) are no shard: each of their windows travels alone, under its own 128-bit digest. What a task has met
-twice by itself is settled there and sent on once.
+A shard holds one anchor's pieces at a time. The shard of an anchor of more than ``HOT`` occurrences (a passage in a third of
+all documents) is split: each of its windows goes to a shard of its own, as a 128-bit BLAKE2b digest of its text. What a task
+has met twice by itself is settled there and sent on once. Texts are known by 64-bit hashes that are checked by a second one.
+
+``windows_by_broadcast`` is the plain form of the method: automata of reference shards of bounded size, broadcast one after
+another, all documents streamed through each. It gives the same windows, but reads the corpus once for every shard, and the
+shards grow with the corpus; the README has its figures.
 """
 
 from __future__ import annotations
@@ -24,19 +28,26 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import U64, as_long, cut, gram_hashes, mix, shuffle_partitions, text_bytes, text_chunks, word_hashes, word_spans
+from millrace.llm.common import U64, as_long, cut, gram_hashes, mix, shuffle_partitions, small_batches, text_bytes, text_chunks, tidy, word_hashes, word_spans
 
 LENGTH = 35
-#: Occurrences over which an anchor's windows travel alone; a quarter of it within one task's gathered documents.
+#: Texts that share their hash by chance at most: 10^10 have about three.
+MAX_CLASHES = 100_000
+#: Occurrences over which an anchor's shard is split by windows; a quarter of it within one task's gathered documents.
 HOT = 256
 #: Anchor occurrences that a task gathers before it settles what repeats among them.
 GATHER = 200_000
 
 
+#: Bytes of a window's digest, and what stands before it: no text of words joined by blanks starts so.
+DIGEST, MARK = 16, b" "
+MASK = (1 << 60) - 1
+
+
 class Automaton:
     """Suffix automaton of several sequences, with the number of occurrences of each state's substrings."""
 
@@ -92,8 +103,8 @@ class Automaton:
             if self.link[v] > 0:
                 self.count[self.link[v]] += self.count[v]
 
-    def repeats(self, sequence, length: int) -> int:
-        """Bit i is set if the window of ``length`` from i occurs twice or more."""
+    def repeats(self, sequence, length: int, times: int = 2) -> int:
+        """Bit i is set if the window of ``length`` from i occurs ``times`` times or more."""
         nxt, link, lens = self.next, self.link, self.len
         mask, v, at = 0, 0, 0
         for i, c in enumerate(sequence):
@@ -107,7 +118,7 @@ class Automaton:
                 while lens[link[v]] >= length:
                     v = link[v]
                     at = lens[v]
-                if self.count[v] > 1:
+                if self.count[v] >= times:
                     mask |= 1 << (i + 1 - length)
         return mask
 
@@ -237,8 +248,8 @@ def repeated_anchors(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             n = sum(map(len, wait))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(wait)), pa.array(np.full(n, wait_h)), pa.array(np.full(n, hot))], names=["tid", "h", "hot"])
 
-    rows = texts.select("tid", "text").mapInArrow(gather, "h long, tid long, kind byte, settled long")
-    met = rows.repartition(parts, "h").sortWithinPartitions("h", F.desc("kind")).mapInArrow(meet, "tid long, h long, hot boolean")
+    rows = texts.select("tid", "text").mapInArrow(tidy(gather), "h long, tid long, kind byte, settled long")
+    met = rows.repartition(parts, "h").sortWithinPartitions("h", F.desc("kind")).mapInArrow(tidy(meet), "tid long, h long, hot boolean")
     return met.groupBy("tid").agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot_anchors"))
 
 
@@ -285,14 +296,10 @@ def repeated_windows(texts: DataFrame, anchors: DataFrame, length: int = LENGTH)
                 if hot.any():
                     n = (p.last - p.first + 1)[hot]
                     starts = np.repeat(p.first[hot] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    one, two = np.zeros(len(starts), U64), np.zeros(len(starts), U64)
-                    for k in range(length):
-                        w = p.words[starts + k]
-                        one, two = mix(one * U64(0x9E3779B97F4A7C15) + w), mix(two * U64(0xC2B2AE3D27D4EB4F) ^ (w + U64(k)))
-                    digest = np.stack([one, two], axis=1)
                     owner = np.repeat(p.owner[hot], n)
-                    for k, (st, o) in enumerate(zip(starts.tolist(), owner.tolist())):
-                        seen.setdefault((int(digest[k, 0].view(np.int64)), digest[k].tobytes()), []).append((int(tids[o]), st - int(base[o]), 1))
+                    for st, o in zip(starts.tolist(), owner.tolist()):
+                        digest = hashlib.blake2b(b" ".join(raw[p.s[st] : p.e[st + length - 1]].split()), digest_size=DIGEST).digest()
+                        seen.setdefault((int.from_bytes(digest[:8], "little", signed=True), MARK + digest), []).append((int(tids[o]), st - int(base[o]), 1))
                     held += len(starts)
                 if held > GATHER:
                     yield flush()
@@ -303,20 +310,20 @@ def repeated_windows(texts: DataFrame, anchors: DataFrame, length: int = LENGTH)
 
     def shard(group: dict) -> Iterator[tuple[int, int, int]]:
         """One anchor's pieces: content -> [occurrences at least, members]."""
-        alone = [c for c, (n, members) in group.items() if n == 1 and members]
+        texts = {c: c.split(b" ") for c in group if not c.startswith(MARK)}
         for content, (n, members) in group.items():
             if n > 1:
-                words = content.count(b" ") + 1 if len(content) != 16 else length
+                windows = len(texts[content]) - length + 1 if content in texts else 1
                 for tid, start in members:
-                    yield tid, start, (1 << (words - length + 1)) - 1
-        if alone and len(group) > 1 and len(alone[0]) != 16:
+                    yield tid, start, (1 << windows) - 1
+        alone = [c for c in texts if group[c][0] == 1 and group[c][1]]
+        if alone and len(texts) > 1:
             automaton = Automaton()
-            split = {c: c.split(b" ") for c in group}
-            for c, (n, _) in group.items():
-                automaton.add(split[c], min(n, 2))
+            for c, words in texts.items():
+                automaton.add(words, min(group[c][0], 2))
             automaton.close()
             for c in alone:
-                if mask := automaton.repeats(split[c], length):
+                if mask := automaton.repeats(texts[c], length):
                     for tid, start in group[c][1]:
                         yield tid, start, mask
 
@@ -346,11 +353,65 @@ def repeated_windows(texts: DataFrame, anchors: DataFrame, length: int = LENGTH)
         yield out()
 
     joined = texts.join(anchors, "tid")
-    rows = joined.select("doc_id", "tid", "text", "anchors", "hot_anchors").mapInArrow(pieces, schema)
-    return rows.repartition(parts, "h").sortWithinPartitions("h", "content").mapInArrow(match, "tid long, start long, mask long")
-
-
-def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    rows = joined.select("doc_id", "tid", "text", "anchors", "hot_anchors").mapInArrow(tidy(pieces), schema)
+    return rows.repartition(parts, "h").sortWithinPartitions("h", "content").mapInArrow(tidy(match), "tid long, start long, mask long")
+
+
+def windows_by_broadcast(texts: DataFrame, length: int = LENGTH, shard_words: int = 200_000) -> DataFrame:
+    """The same as ``repeated_windows`` for (tid, text) rows, by the plain method: distinct texts are dealt to reference shards of
+    about ``shard_words`` words; a shard's automaton is built on the driver and broadcast, and all distinct texts are streamed
+    through it. A window repeats when it occurs once in a shard that its text is not in, or twice in its own."""
+    spark = texts.sparkSession
+    distinct = cut(texts.groupBy("tid").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("rows")).withColumn("n", F.size(F.split("text", r"[\x20\x09-\x0D]+"))).where(F.col("n") >= length))
+    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_words))
+    found = None
+    for k in range(shards):
+        own = distinct.where(F.pmod("tid", F.lit(shards)) == k).select("tid", "text", "rows").collect()  # about shard_words words
+        automaton = Automaton()
+        for r in own:
+            automaton.add(r["text"].encode().split(), r["rows"])
+        automaton.close()
+        shared = spark.sparkContext.broadcast((automaton, shards, k))
+
+        def stream(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton, shards, k = shared.value
+            for batch in batches:
+                rows = []
+                for tid, text in zip(batch.column("tid").to_pylist(), batch.column("text")):
+                    mask = automaton.repeats(text.as_buffer().to_pybytes().split(), length, 2 if tid % shards == k else 1)
+                    at = 0
+                    while mask:
+                        if mask & MASK:
+                            rows.append((tid, at, mask & MASK))
+                        mask >>= 60
+                        at += 60
+                cols = list(zip(*rows)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["tid", "start", "mask"])
+
+        windows = cut(distinct.select("tid", "text").mapInArrow(tidy(stream), "tid long, start long, mask long"))
+        shared.destroy()
+        found = windows if found is None else found.union(windows)
+    return found
+
+
+def text_id(text: str) -> Column:
+    return F.xxhash64(text)
+
+
+def known_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, tid): equal texts have one tid, unequal ones different tids. Texts that share a hash are found by a second
+    one, which they go by instead."""
+    texts = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    check = F.xxhash64(F.lit("check"), F.col("text"))
+    pairs = texts.select(text_id("text").alias("tid"), check.alias("check")).groupBy("tid").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    clashes = [r["tid"] for r in pairs.where("low <> high").select("tid").limit(MAX_CLASHES + 1).collect()]
+    if len(clashes) > MAX_CLASHES:
+        raise RuntimeError("text hashes clash far more often than by chance")
+    return texts.withColumn("tid", F.when(text_id("text").isin(clashes), check).otherwise(text_id("text")) if clashes else text_id("text"))
+
+
+def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, by_broadcast: bool = False) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` (of the kept words joined by one space) and, if
     wanted, ``kept``.
 
@@ -360,9 +421,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     """
     if not 2 <= length <= 60:
         raise ValueError("windows hold 2 to 60 words")
-    texts = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).withColumn("tid", F.xxhash64("text"))
-    anchors = cut(repeated_anchors(texts, length))
-    windows = repeated_windows(texts, anchors, length).groupBy("tid").agg(F.collect_set(F.struct("start", "mask")).alias("windows"))
+    small_batches(df.sparkSession)
+    texts = known_texts(df, id_col, text_col)
+    windows = windows_by_broadcast(texts, length) if by_broadcast else repeated_windows(texts, cut(repeated_anchors(texts, length)), length)
+    windows = windows.groupBy("tid").agg(F.collect_set(F.struct("start", "mask")).alias("windows"))
     fields = [T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if keep_text:
         fields.append(T.StructField("kept", T.StringType()))
@@ -398,4 +460,4 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                     cols.append(pa.array(kept, pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return texts.join(windows, "tid", "left").select("doc_id", "text", "windows").mapInArrow(finish, T.StructType(fields))
+    return texts.join(windows, "tid", "left").select("doc_id", "text", "windows").mapInArrow(tidy(finish), T.StructType(fields))
