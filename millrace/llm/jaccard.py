@@ -16,7 +16,8 @@ documents whose window holds nothing outside their ball are finished, the others
 nearest pivot p and are replicated into every cell q with d(x, q) <= d(x, p) + 2 eps; what pivots can't cut is joined
 as pairs of blocks.
 
-Equal sets are one class from the start. Shingles are 64-bit hashes of five words, classes 64-bit sums of those.
+Equal sets are one class from the start. Shingles are 64-bit hashes of five words. Classes are 64-bit sums of those, checked
+by a second sum: sets that are unequal but have one id get others (see ``JaccardJoin.classes``).
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, U64, as_long, cut, gram_hashes, mix, release, shuffle_partitions, text_bytes, text_chunks, word_hashes, word_spans
+from millrace.llm.common import LOWER, U64, as_long, broadcast_if_small, cut, gram_hashes, mix, release, shuffle_partitions, small_batches, text_bytes, text_chunks, tidy, word_hashes, word_spans
 from millrace.llm.components import components, roots
 
 WORDS = 5
@@ -39,14 +40,14 @@ REGION_SHINGLES = 1_000_000
 PAIR_LIMIT = 64
 #: Percent of a set's shingles by which its boundary reaches further than it must.
 EXTRA = 15
-#: Shingles of a packed bucket, about.
-BUCKET_SHINGLES = 1_500_000
-#: Pivots of a large region, and the shingles that all pivots of one round may hold.
+#: Shingles of a packed bucket, about. Each bucket is a partition.
+BUCKET_SHINGLES = 1_000_000
+#: Pivots of a large region in a round.
 PIVOTS = 8
-PIVOT_SHINGLES = 2_000_000
-PIVOT_ROUNDS = 1
-#: Cells per document over which pivots don't cut a region.
-MAX_SPREAD = 3
+#: Cells per document, and share of a region in one of its cells, over which pivots don't cut the region.
+MAX_SPREAD, MAX_CELL = 3, 0.75
+#: Bits of a class id (fewer in tests), and sets that share one by chance at most: 10^10 sets have about three.
+ID_BITS, MAX_CLASHES = 64, 100_000
 #: Entries of the table of frequent shingles (8 bytes each). The table only orders shingles; any table gives the same links.
 FREQUENT = 1 << 20
 #: Documents from which a shingle is frequent.
@@ -78,14 +79,32 @@ def shingle_sets(col: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndar
     return owner, shingle, np.bincount(owner, minlength=n)
 
 
-def set_ids(owner: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit id of each document's set; equal sets have equal ids."""
+def set_sums(owner: np.ndarray, shingle: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """A 64-bit sum of each document's set; equal sets have equal sums."""
     total = np.zeros(len(shingle) + 1, dtype=U64)
-    np.cumsum(mix(shingle + U64(0xA5A5)), out=total[1:])
+    np.cumsum(mix(shingle + U64(salt)), out=total[1:])
     at = np.searchsorted(owner, np.arange(n + 1))
     return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(U64))
 
 
+class SetIds:
+    """Ids of sets. ``clashing``, sorted, are those that unequal sets share: such sets go by their second sum."""
+
+    def __init__(self, clashing: np.ndarray | None = None):
+        self.clashing = np.zeros(0, np.int64) if clashing is None else clashing
+        self.shift = U64(64 - ID_BITS)
+
+    def __call__(self, owner: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+        ids = (set_sums(owner, shingle, n, 0xA5A5) >> self.shift).view(np.int64)
+        if len(self.clashing):
+            at = np.minimum(np.searchsorted(self.clashing, ids), len(self.clashing) - 1)
+            ids = np.where(self.clashing[at] == ids, self.checks(owner, shingle, n), ids)
+        return ids
+
+    def checks(self, owner: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+        return set_sums(owner, shingle, n, 0x3C3C3C).view(np.int64)
+
+
 def order_keys(h: np.ndarray, n_buckets: int) -> np.ndarray:
     """The bucket of each shingle, by the range of its hash, over the hash's low 32 bits."""
     bucket = (h >> U64(32)) * U64(n_buckets) >> U64(32)
@@ -213,20 +232,37 @@ class JaccardJoin:
         self.docs, self.percent, self.words = docs, percent, words
         self.spark = docs.sparkSession
         self.parts = shuffle_partitions(self.spark)
+        self.ids = SetIds()
+        small_batches(self.spark)
+
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        """(signatures of all documents, classes of equal sets: sid, rep, n). Ids that unequal sets share are found by the second
+        sum, and what bears them is read again under others."""
+        for _ in range(3):
+            signatures = cut(self.signatures())
+            keyed = signatures.where(F.col("doc_id").isNotNull() & F.col("sid").isNotNull())
+            classes = cut(keyed.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")))
+            clashes = classes.where("low <> high").select("sid").limit(MAX_CLASHES + 1).collect()
+            if not clashes:
+                return signatures.drop("check"), classes.select("sid", "rep", "n")
+            if len(clashes) > MAX_CLASHES:
+                break
+            self.ids = SetIds(np.unique(np.append(self.ids.clashing, [r["sid"] for r in clashes])).astype(np.int64))
+        raise RuntimeError("set ids clash far more often than by chance")
 
     def signatures(self) -> DataFrame:
-        """doc_id, n (set size), sid (null for empty sets)."""
-        words = self.words
+        """doc_id, n (set size), sid and its check (null for empty sets)."""
+        words, ids = self.words, self.ids
 
         def run(batches):
             for batch in batches:
                 for i, j in text_chunks(batch):
                     part = batch.slice(i, j - i)
                     owner, shingle, n = shingle_sets(part.column("text"), words)
-                    sid = set_ids(owner, shingle, len(n)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sid, mask=n == 0)], names=["doc_id", "n", "sid"])
+                    sid, check = (pa.array(x(owner, shingle, len(n)), mask=n == 0) for x in (ids, ids.checks))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), sid, check], names=["doc_id", "n", "sid", "check"])
 
-        return self.docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long")
+        return self.docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, sid long, check long")
 
     def frequent(self, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Frequent shingles: their keys (see ``order_keys``), sorted, and the place of each by rising frequency. They are ordered
@@ -286,8 +322,8 @@ class JaccardJoin:
             if at is not None:
                 yield close()
 
-        packed = self.docs.select("text").mapInArrow(gather, "bucket long, once binary, more binary, times binary")
-        counted = packed.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "key long, c long")
+        packed = self.docs.select("text").mapInArrow(tidy(gather), "bucket long, once binary, more binary, times binary")
+        counted = packed.repartitionById(n_buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(tidy(count), "key long, c long")
         counted = counted.orderBy(F.desc("c"), "key").limit(FREQUENT).toArrow()
         key, c = counted["key"].to_numpy().view(U64), counted["c"].to_numpy()
         order = np.argsort(key)
@@ -304,7 +340,7 @@ class JaccardJoin:
         that meet in a larger region are so connected whatever the count of the rest. Rows travel as packed arrays, by
         ranges of the shingles' hashes."""
         shared = self.spark.sparkContext.broadcast(frequent)  # at most FREQUENT numbers
-        words, percent = self.words, self.percent
+        words, percent, ids = self.words, self.percent, self.ids
         names = ["bucket", "h", "doc", "sid", "n", "star"]
 
         def spread(batches):
@@ -351,7 +387,7 @@ class JaccardJoin:
                     owner, shingle, n = shingle_sets(batch.column("text").slice(i, j - i), words)
                     if not len(owner):
                         continue
-                    sid = set_ids(owner, shingle, len(n)).view(np.int64)
+                    sid = ids(owner, shingle, len(n))
                     late = np.zeros(len(shingle), dtype=np.int32)
                     if len(hot):
                         key = order_keys(shingle, n_buckets)
@@ -434,8 +470,8 @@ class JaccardJoin:
             if at is not None:
                 yield from meet(rows)
 
-        packed = self.docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(spread, "bucket long, h binary, doc binary, sid binary, n binary, star binary")
-        met = packed.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet_sorted, "a long, b long, n_a long, n_b long, times long")
+        packed = self.docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(tidy(spread), "bucket long, h binary, doc binary, sid binary, n binary, star binary")
+        met = packed.repartitionById(n_buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(tidy(meet_sorted), "a long, b long, n_a long, n_b long, times long")
         met = met.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("times").alias("times"), F.max(F.col("times").isNull()).alias("stays"))
         least = -F.floor(-(F.col("n_a") + F.col("n_b")) * percent / (100 + percent) + SLACK)  # shingles that linked sets share at least
         spare = lambda n: F.least(n, n - F.ceil(n * percent / 100) + F.ceil(n * EXTRA / 100)) - n
@@ -443,111 +479,112 @@ class JaccardJoin:
         return met.where(F.col("stays") | (F.col("times") >= needed)).select("a", "b")
 
     def members(self, classes: DataFrame, regions: DataFrame) -> DataFrame:
-        """(region, sid, n, shingles, large) of every class in a region; the sets are read from the least document's
-        text. Weights are known before any set is read, so sets are shuffled once, to their region's task."""
-        words = self.words
+        """(region, sid, n, shingles, w) of every class in a region; the sets are read from the least document's
+        text. Weights w (a region's shingles) are known before any set is read, so sets are shuffled once, to their region's task."""
+        words, ids = self.words, self.ids
         placed = classes.join(regions, F.col("sid") == F.col("node")).select("sid", "rep", "n", F.col("component").alias("region"))
-        weight = placed.groupBy(F.col("region").alias("of")).agg(F.sum("n").alias("w"))
-        wanted = placed.join(weight, F.col("region") == F.col("of")).select(F.col("rep").alias("doc_id"), F.col("sid").alias("want"), "region", (F.col("w") > REGION_SHINGLES).alias("large"))
+        wanted = cut(self._weighed(placed).select(F.col("rep").alias("doc_id"), F.col("sid").alias("want"), "region", "w"))
 
         def run(batches):
             for batch in batches:
                 for i, j in text_chunks(batch):
                     part = batch.slice(i, j - i)
                     owner, shingle, n = shingle_sets(part.column("text"), words)
-                    ok = set_ids(owner, shingle, len(n)).view(np.int64) == part.column("want").to_numpy()
+                    ok = ids(owner, shingle, len(n)) == part.column("want").to_numpy()
                     at = np.append(0, np.cumsum(n))
                     sets = [shingle[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                    out = pa.RecordBatch.from_arrays([part.column("region"), part.column("want"), pa.array(n.astype(np.int64)), pa.array(sets, pa.binary()), part.column("large")], names=["region", "sid", "n", "shingles", "large"])
+                    out = pa.RecordBatch.from_arrays([part.column("region"), part.column("want"), pa.array(n.astype(np.int64)), pa.array(sets, pa.binary()), part.column("w")], names=["region", "sid", "n", "shingles", "w"])
                     yield out.filter(pa.array(ok & (n > 0)))
 
-        read = self.docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "region long, sid long, n long, shingles binary, large boolean")
+        read = self.docs.select("doc_id", "text").join(broadcast_if_small(wanted), "doc_id").mapInArrow(tidy(run), "region long, sid long, n long, shingles binary, w long")
         return self._placed(read)
 
+    def _weighed(self, members: DataFrame) -> DataFrame:
+        """With w, the number of shingles of the region."""
+        weight = members.groupBy(F.col("region").alias("of")).agg(F.sum("n").alias("w"))
+        return members.join(weight, F.col("region") == F.col("of")).drop("of")
+
     def _placed(self, members: DataFrame) -> DataFrame:
         """Written with each region in one partition, sorted; large regions are dealt out over all."""
-        salt = F.when(F.col("large"), F.xxhash64("sid")).otherwise(0)
+        salt = F.when(F.col("w") > REGION_SHINGLES, F.xxhash64("sid")).otherwise(0)
         return cut(members.repartition(self.parts, "region", salt).sortWithinPartitions("region", "n", "sid"))
 
     def join_regions(self, members: DataFrame) -> DataFrame:
-        """Links (a, b) among the members of each region, enough of them to connect what all links connect."""
-        found = []
-        for depth in range(PIVOT_ROUNDS + 1):
-            found.append(cut(members.where(~F.col("large")).mapInArrow(_join_sorted(self.percent, "region"), "a long, b long")))
-            members = members.where("large")
-            if members.isEmpty():
-                break
-            if depth == PIVOT_ROUNDS:
-                found.append(self._block_pairs(members))
-                break
-            links, members = self._pivot_round(members, depth)
-            found += links
-            weight = members.groupBy(F.col("region").alias("of")).agg(F.sum("n").alias("w"))
-            members = self._placed(members.join(weight, F.col("region") == F.col("of")).select("region", "sid", "n", "shingles", (F.col("w") > REGION_SHINGLES).alias("large")))
-        out = found[0]
-        for f in found[1:]:
-            out = out.union(f)
-        return out
-
-    def _pivot_round(self, members: DataFrame, depth: int) -> tuple[list[DataFrame], DataFrame]:
-        """Cut large regions by pivots, a bounded number of regions at a time; what they don't cut is joined in blocks."""
+        """Links (a, b) among the members of each region, enough of them to connect what all links connect. Regions that one
+        task can hold are joined; all others are cut by pivots, all at once, until every cell fits in a task. A round leaves a cell
+        at most MAX_CELL of its region, so the rounds are few."""
+        out, depth = None, 0
+        while True:
+            links = cut(members.where(F.col("w") <= REGION_SHINGLES).mapInArrow(tidy(_join_sorted(self.percent, "region")), "a long, b long"))
+            out = links if out is None else out.union(links)
+            large = members.where(F.col("w") > REGION_SHINGLES)
+            if large.isEmpty():
+                return out
+            links, members = self._pivot_round(large, depth)
+            out = out.union(links)
+            depth += 1
+
+    def _pivot_round(self, members: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+        """Cut all large regions by pivots: (links, members of the cells). Regions that pivots don't cut are joined in blocks.
+
+        A region's pivots are its documents of least hash. They travel to every part of about REGION_SHINGLES of the region's
+        shingles, so no task holds more than a part and the pivots, and nothing of it passes the driver."""
         percent = self.percent
         eps = 1 - percent / 100 + SLACK
-        names = [r["region"] for r in members.select("region").distinct().orderBy("region").collect()]  # regions of over REGION_SHINGLES
-        links, cells = [], []
-        for at in range(0, len(names), 8):
-            wave = members.where(F.col("region").isin(names[at : at + 8]))
-            chosen = []
-            for name in names[at : at + 8]:
-                top = wave.where(F.col("region") == name).orderBy(F.xxhash64("sid", F.lit(depth)), "sid").limit(PIVOTS).select("region", "sid", "shingles").collect()
-                held = 0
-                for i, r in enumerate(top):
-                    held += len(r["shingles"]) // 8
-                    if i and held > PIVOT_SHINGLES // 8:
-                        break
-                    chosen.append((r["region"], r["sid"], np.frombuffer(r["shingles"], dtype=U64)))
-            shared = self.spark.sparkContext.broadcast(chosen)  # at most 8 regions' pivots of PIVOT_SHINGLES / 8 shingles (or one document) each
-
-            def measure(batches):
-                pivots = shared.value
-                for batch in batches:
-                    rows = []
-                    for region, sid, n, shingles in zip(batch.column("region").to_pylist(), batch.column("sid").to_pylist(), batch.column("n").to_pylist(), batch.column("shingles")):
-                        own = np.frombuffer(shingles.as_buffer(), dtype=U64)
-                        for k, (r, pid, pset) in enumerate(pivots):
-                            if r == region:
-                                place = np.minimum(np.searchsorted(pset, own), len(pset) - 1)
-                                o = int((pset[place] == own).sum())
-                                rows.append((region, sid, k, pid, 1 - o / (n + len(pset) - o), bool(linked(o, n, len(pset), percent))))
-                    yield pa.RecordBatch.from_pylist([dict(zip(("region", "sid", "k", "pid", "d", "ball"), x)) for x in rows], schema=pa.schema([("region", pa.int64()), ("sid", pa.int64()), ("k", pa.int64()), ("pid", pa.int64()), ("d", pa.float64()), ("ball", pa.bool_())]))
-
-            dist = cut(wave.select("region", "sid", "n", "shingles").mapInArrow(measure, "region long, sid long, k long, pid long, d double, ball boolean"))
-            links.append(dist.where(F.col("ball") & (F.col("sid") != F.col("pid"))).select(F.col("sid").alias("a"), F.col("pid").alias("b")))
-            beyond = F.broadcast(dist.where(~F.col("ball")).groupBy("k").agg(F.min("d").alias("beyond")))  # one row per pivot
-            dist = dist.join(beyond, "k", "left")
-            done = F.max(F.col("ball") & (F.col("beyond").isNull() | (F.col("d") + F.lit(eps) < F.col("beyond"))))
-            home = dist.groupBy("region", "sid").agg(F.min("d").alias("home"), done.alias("done")).where(~F.col("done"))
-            cell = dist.select("region", "sid", "k", "d").join(home, ["region", "sid"]).where(F.col("d") <= F.col("home") + 2 * eps)
-            cell = cut(cell.select("region", "sid", F.xxhash64("region", "k", F.lit(depth)).alias("cell")))
-            spread = cell.groupBy("region").agg((F.count(F.lit(1)) / F.countDistinct("sid")).alias("f")).collect()  # one row per region
-            stuck = F.col("region").isin([r["region"] for r in spread if r["f"] > MAX_SPREAD])
-            cells.append(cut(wave.join(cell.where(~stuck), ["region", "sid"]).select(F.col("cell").alias("region"), "sid", "n", "shingles")))
-            if any(r["f"] > MAX_SPREAD for r in spread):
-                links.append(self._block_pairs(wave.join(cell.where(stuck).select("region", "sid").distinct(), ["region", "sid"])))
-        out = cells[0]
-        for c in cells[1:]:
-            out = out.union(c)
-        return links, out
+        draw = F.xxhash64("sid", F.lit(depth))
+        first = Window.partitionBy("region").orderBy("draw", "sid")  # cut to PIVOTS before the shuffle
+        chosen = members.select("region", "sid", draw.alias("draw")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= PIVOTS)
+        chosen = broadcast_if_small(cut(chosen.select(F.col("region").alias("of"), F.col("sid").alias("pid"), "k")))
+        parts = F.ceil(F.col("w") / REGION_SHINGLES)
+        pivots = members.join(chosen, (F.col("region") == F.col("of")) & (F.col("sid") == F.col("pid"))).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        pivots = pivots.select("region", "part", "sid", "n", "shingles", F.col("k").cast("int").alias("k"))
+        own = members.select("region", F.pmod(F.xxhash64("sid", F.lit("part")), parts).alias("part"), "sid", "n", "shingles", F.lit(0).alias("k"))
+
+        def measure(batches):
+            """Sorted by region and part, pivots first: distance to each pivot, and whether it is a link's."""
+            at, known = None, []
+            for batch in batches:
+                rows = {c: [] for c in ("region", "sid", "pid", "d", "ball")}
+                for region, part, k, sid, n, shingles in zip(*(batch.column(c).to_pylist() for c in ("region", "part", "k", "sid", "n")), batch.column("shingles")):
+                    own = np.frombuffer(shingles.as_buffer(), dtype=U64)
+                    if (region, part) != at:
+                        at, known = (region, part), []
+                    if k:
+                        known.append((sid, own.copy()))
+                        continue
+                    o = np.array([int((p[np.minimum(np.searchsorted(p, own), len(p) - 1)] == own).sum()) for _, p in known], dtype=np.int64)
+                    size = np.array([len(p) for _, p in known], dtype=np.int64)
+                    for c, x in zip(rows, (region, sid, [p for p, _ in known], (1 - o / (n + size - o)).tolist(), linked(o, n, size, percent).tolist())):
+                        rows[c].append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["region"], pa.int64()), pa.array(rows["sid"], pa.int64()), pa.array(rows["pid"], pa.list_(pa.int64())), pa.array(rows["d"], pa.list_(pa.float64())), pa.array(rows["ball"], pa.list_(pa.bool_()))], names=list(rows))
+
+        dealt = own.union(pivots.select(own.columns)).repartition(self.parts, "region", "part").sortWithinPartitions("region", "part", F.desc("k"), "sid")
+        dist = cut(dealt.mapInArrow(tidy(measure), "region long, sid long, pid array<long>, d array<double>, ball array<boolean>"))
+        each = dist.select("region", "sid", F.explode(F.arrays_zip("pid", "d", "ball")).alias("p")).select("region", "sid", "p.*")
+        links = each.where(F.col("ball") & (F.col("sid") != F.col("pid"))).select(F.col("sid").alias("a"), F.col("pid").alias("b"))
+        # a ball whose window holds nothing outside of it is finished
+        beyond = each.where(~F.col("ball")).groupBy(F.col("region").alias("of"), F.col("pid").alias("p")).agg(F.min("d").alias("beyond"))
+        beyond = broadcast_if_small(cut(beyond))
+        inside = each.where("ball").join(beyond, (F.col("region") == F.col("of")) & (F.col("pid") == F.col("p")), "left")
+        done = inside.where(F.col("beyond").isNull() | (F.col("d") + F.lit(eps) < F.col("beyond"))).select("region", "sid").distinct()
+        rest = dist.join(done, ["region", "sid"], "left_anti").withColumn("home", F.array_min("d"))
+        cell = cut(rest.select("region", "sid", F.explode(F.arrays_zip("pid", "d")).alias("p"), "home").where(F.col("p.d") <= F.col("home") + 2 * eps).select("region", "sid", F.col("p.pid").alias("pid")))
+        sizes = cell.groupBy("region", "pid").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(F.sum("c").alias("copies"), F.max("c").alias("largest"))
+        whole = rest.groupBy("region").agg(F.count(F.lit(1)).alias("m"))
+        stuck = sizes.join(whole, "region").where((F.col("copies") > MAX_SPREAD * F.col("m")) | (F.col("largest") > MAX_CELL * F.col("m"))).select("region")
+        stuck = broadcast_if_small(cut(stuck))
+        split = members.join(cell.join(stuck, "region", "left_anti"), ["region", "sid"]).select(F.xxhash64("region", "pid", F.lit(depth)).alias("region"), "sid", "n", "shingles")
+        blocks = members.join(cell.join(stuck, "region", "left_semi").select("region", "sid").distinct(), ["region", "sid"]).select("region", "sid", "n", "shingles")
+        return links.union(self._block_pairs(blocks)), self._placed(self._weighed(cut(split)))
 
     def _block_pairs(self, members: DataFrame) -> DataFrame:
         """Join what pivots can't cut as pairs of blocks, each of about half a task's share (or one document)."""
-        weight = members.groupBy(F.col("region").alias("of")).agg(F.sum("n").alias("w"))
         blocks = F.ceil(F.col("w") / (REGION_SHINGLES // 2)).cast("int")
-        rows = members.join(weight.withColumn("g", blocks), F.col("region") == F.col("of")).withColumn("i", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int"))
+        rows = self._weighed(cut(members)).withColumn("g", blocks).withColumn("i", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int"))
         rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         task = F.xxhash64("region", F.least("i", "j"), F.greatest("i", "j"))
         rows = rows.select(task.alias("task"), "sid", "n", "shingles")
-        return cut(rows.repartition(self.parts, "task").sortWithinPartitions("task", "n", "sid").mapInArrow(_join_sorted(self.percent, "task"), "a long, b long"))
+        return cut(rows.repartition(self.parts, "task").sortWithinPartitions("task", "n", "sid").mapInArrow(tidy(_join_sorted(self.percent, "task")), "a long, b long"))
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -561,9 +598,7 @@ def near_duplicates(df: DataFrame, percent: int = 75, words: int = WORDS, id_col
     their number per document can be reported.
     """
     join = JaccardJoin(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")), percent, words)
-    signatures = cut(join.signatures())
-    keyed = signatures.where(F.col("doc_id").isNotNull() & F.col("sid").isNotNull())
-    classes = cut(keyed.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    signatures, classes = join.classes()
     n_shingles = signatures.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(join.parts, math.ceil(n_shingles * (100 - percent + EXTRA) / 100 / BUCKET_SHINGLES))
     frequent = join.frequent(buckets)
