@@ -3,12 +3,14 @@
 A unit vector is approximated by the sum of one codeword from each of ``books`` full-dimensional codebooks. Codebooks are
 fitted on a bounded sample as residual codebooks and then refitted jointly by least squares; codes are found by beam search, and each row's index entry is its codes and the norm of its
 approximation. A query's product with every codeword is one lookup table; a row's score is the sum of its table entries
-over its stored norm. In every block of rows each query ranks the best share of candidates by that score anew by the
+over its stored norm. In every block of rows each query ranks the ``rerank`` best candidates by that score anew by the
 exact cosine, and then all others whose exact cosine may reach the k-th of these: a row's angle to its own approximation
 is stored, so the score bounds the exact cosine (triangle inequality of angles). The best of all blocks are the answer.
 
-Every distinct vector is indexed once, with its ``k`` + 1 smallest ids (one may be the query's own), and searched; only the codebooks see a sample. Queries are joined with rows block by block, so a
-task holds at most ``ROW_BLOCK`` rows and ``QUERY_BLOCK`` queries.
+Every distinct vector is indexed once, with its ``k`` + 1 smallest ids (one may be the query's own), and searched; only the
+codebooks see a sample. Queries are joined with rows block by block, so a task holds at most ``ROW_BLOCK`` rows and
+``QUERY_BLOCK`` queries, and a row travels once for each block of queries, a query once for each block of rows. Blocks are as large
+as memory allows; only where they would be fewer than partitions are those of rows smaller, down to ``LEAST_BLOCK``.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, shuffle_partitions
 from millrace.llm.vectors import matrix, usable
 
-ROW_BLOCK = 4096
-QUERY_BLOCK = 512
+ROW_BLOCK = 32_768
+QUERY_BLOCK = 16_384
+LEAST_BLOCK = 4096
 #: Rows on which the codebooks are fitted.
 SAMPLE_ROWS = 8192
 
@@ -98,15 +101,15 @@ def fit(x: np.ndarray, books: int = 16, size: int = 64, rounds: int = 6, joint_r
     return Codebooks.of(words)
 
 
-def search(df: DataFrame, is_query: Column, k: int = 5, books: int = 16, size: int = 64, beam: int = 6, rerank_share: float = 0.04, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 5, books: int = 16, size: int = 64, beam: int = 6, rerank: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (exact cosine, double): for each query row the ``k`` nearest
     found among all rows but itself, ties to the smaller id, fewer if there are fewer.
 
     Queries are the rows where ``is_query`` holds. Vectors that cannot be compared (see ``vectors.usable``) and rows with
     a null id take no part. A repeated id is one query per distinct vector of it, and its other rows are no candidates
     for it; repeated candidates stand once. An empty table gives an empty table; extra columns are not carried.
-    ``rerank_share`` of each block of vectors, 64 at least, is ranked exactly for each query, and so is every other vector
-    that the bound does not exclude.
+    The best ``rerank`` vectors of each block are ranked exactly for each query, and so is every other vector that the
+    bound does not exclude.
     """
     spark = df.sparkSession
     good, dim = usable(df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).withColumn("__query", F.coalesce(is_query, F.lit(False))), vec_col)
@@ -121,7 +124,9 @@ def search(df: DataFrame, is_query: Column, k: int = 5, books: int = 16, size: i
     sample = distinct.orderBy("__hash", "ids").select("embedding").limit(SAMPLE_ROWS).toArrow()  # at most SAMPLE_ROWS vectors
     x = matrix(sample["embedding"], dim) if n else np.zeros((0, 1))
     model = spark.sparkContext.broadcast(fit(x, books, size) if n else Codebooks.of(np.zeros((books, size, 1))))  # books x size x dim floats, and their products
-    row_blocks, query_blocks = max(1, math.ceil(n / ROW_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
+    parts = shuffle_partitions(spark)
+    row_blocks = max(1, math.ceil(n / ROW_BLOCK), min(parts, math.ceil(n / LEAST_BLOCK)))
+    query_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -172,7 +177,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, books: int = 16, size: i
             codes = np.frombuffer(b"".join(table["codes"].filter(pa.array(~is_q)).to_pylist()), dtype=np.uint8).reshape(len(r), -1)
             norm, cos, sin = (table[c].to_numpy(zero_copy_only=False)[r] for c in ("norm", "cos", "sin"))
             norm = np.maximum(norm, 1e-12)
-            keep = min(len(r), max(64, k + 1, math.ceil(rerank_share * len(r))))
+            keep = min(len(r), max(rerank, k + 1))
             for at in range(0, len(q), 64):
                 some = q[at : at + 64]
                 lut = np.einsum("qd,msd->mqs", vectors[some], m.words, optimize=True).astype(np.float32)
@@ -202,7 +207,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, books: int = 16, size: i
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         return pa.table({"query_id": cat(out_q, np.int64), "vec_id": cat(out_v, np.int64), "score": cat(out_s, np.float64)})
 
-    grid = candidates.unionByName(queries).repartition(max(shuffle_partitions(spark), 1), "q", "r")
+    grid = candidates.unionByName(queries).repartition(parts, "q", "r")
     found = grid.groupBy("q", "r").applyInArrow(join, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
