@@ -1,11 +1,13 @@
 """The pipeline's stages on a small table, each against what its operator says of its own input."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from millrace.llm import jaccard, mixing, pii, quality, queries
+from millrace.llm import bpe, jaccard, langid, licenses, mixing, pii, quality, queries, substring
 from tests.llm.fixtures import documents, empty_documents, odd_documents
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,6 +69,25 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert sum(i == 20 for i, _ in kept) == 1
 
 
+def test_very_long_texts(spark):
+    """Three texts of two megabytes, two of them equal: of many words, of one word."""
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(300_000))
+    pairs = [(1, long), (2, long), (3, "x" * 2_000_000), (4, "short text")]
+    docs = documents(spark, pairs).repartition(2).cache()
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
+    assert near[2][1] == 1 and near[1] == near[2] and near[3] == (1, 3) and near[1][0] > 299_000
+    left = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(docs, 35, keep_text=False).collect()}
+    assert left == {1: (300_000, 300_000), 2: (300_000, 300_000), 3: (1, 0), 4: (2, 0)}
+    model = quality.Model(0.1, np.zeros(quality.FEATURES), np.zeros((quality.FEATURES, 2)))
+    assert quality.score(docs, model).count() == 4
+    assert langid.predict(docs, langid.fit(docs)).count() == 4
+    assert licenses.scan(docs).where("n_units = 0").count() == 4
+    assert {r.row.doc_id: len(r.entities) for r in pii.replace_pii(docs, "k").collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    ids = {r.doc_id: r.n_tokens for r in bpe.encode_documents(docs.where("doc_id <> 2"), queries.vocabulary(), keep_ids=False, keep_text=False).collect()}
+    assert ids[1] > 300_000 and ids[4] == 2
+
+
 def test_registered():
     import __spark_entry__
 

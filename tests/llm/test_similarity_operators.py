@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import ann, components, embed_dedup, jaccard, substring
+from millrace.llm.common import word_hashes
 from tests.llm.fixtures import documents, empty_documents, odd_documents, words
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -71,13 +72,53 @@ def test_jaccard_odd_documents(spark):
     assert jaccard.near_duplicates(empty_documents(spark)).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{"PAIR_LIMIT": 3}, {"REGION_SHINGLES": 300, "PIVOT_ROUNDS": 0}, {"REGION_SHINGLES": 300, "PIVOT_ROUNDS": 2}, {"GATHER": 50, "PAIR_LIMIT": 2, "REGION_SHINGLES": 500}])
+@pytest.mark.parametrize("limits", [{"PAIR_LIMIT": 3}, {"REGION_SHINGLES": 300, "MAX_SPREAD": 0}, {"REGION_SHINGLES": 300, "MAX_SPREAD": 9, "MAX_CELL": 1}, {"GATHER": 50, "PAIR_LIMIT": 2, "REGION_SHINGLES": 500}, {"ID_BITS": 5}])
 def test_jaccard_large_regions(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(jaccard, k, v)
     check_jaccard(spark, near_copies(5, 3, 14) + odd_documents(n=20))
 
 
+def test_jaccard_recursion_cuts_clusters(spark, monkeypatch):
+    """One region of several clusters, chained by documents between them: pivots must cut it more than once."""
+    monkeypatch.setattr(jaccard, "REGION_SHINGLES", 1500)
+    monkeypatch.setattr(jaccard, "PAIR_LIMIT", 2)  # a meeting is enough to be of one region
+    rng = random.Random(12)
+    shared = words(rng, 9, 10**6)
+    pairs = []
+    for _ in range(12):
+        base = words(rng, 60, 10**6)
+        for _ in range(9):
+            w = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                w[rng.randrange(50)] = f"e{rng.randrange(9)}"
+            pairs.append((len(pairs) + 1, " ".join(shared + w)))
+    check_jaccard(spark, pairs)
+
+
+def test_sets_of_words_with_equal_polynomial_hashes_stay_apart(spark):
+    """Thue-Morse words and their complements collide under any polynomial hash modulo a power of two."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    pairs = [(1, a), (2, b), (3, " ".join(a)), (4, " ".join(b)), (5, f"w x y z {a}"), (6, f"w x y z {b}")]
+    check_jaccard(spark, pairs)
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    for n in (7, 8, 9, 16, 33, 64, 65, 1024):
+        h = word_hashes(data, np.array([0, 1024]), np.array([n, 1024 + n]))
+        assert h[0] != h[1]
+
+
+def test_word_hashes_of_all_lengths():
+    rng = random.Random(1)
+    found = [bytes(rng.choice(b"ab\xc3") for _ in range(rng.choice([1, 2, 7, 8, 9, 20, 63, 64, 65, 200]))) for _ in range(4000)]
+    data = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    h = word_hashes(np.frombuffer(data, np.uint8), ends - [len(w) for w in found], ends)
+    assert len(set(h.tolist())) == len(set(found)) == len(set(zip(found, h.tolist())))
+
+
 def test_region_links_connect_what_all_links_do():
     rng = np.random.default_rng(2)
     for _ in range(60):
@@ -161,6 +202,7 @@ def test_ann_recall_and_exact_scores(spark, monkeypatch):
 
 def test_ann_is_exact_among_copies_and_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ann, "ROW_BLOCK", 600)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 30)
     rng = np.random.default_rng(7)
     one, other = rng.normal(size=8), rng.normal(size=8)
     near = [other + 1e-4 * rng.normal(size=8) for _ in range(500)]
@@ -214,6 +256,20 @@ def test_substring_removal(spark, monkeypatch, length, limits):
     assert substring.remove_repeats(empty_documents(spark), length).count() == 0
 
 
+def test_substring_removal_by_broadcast(spark, monkeypatch):
+    pairs = odd_documents(n=40) + [(600, "a " * 90), (601, "b c " * 60)]
+    monkeypatch.setattr(substring.windows_by_broadcast, "__defaults__", (35, 2000))
+    got = substring.remove_repeats(documents(spark, pairs), 6, by_broadcast=True).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(pairs, 6)
+
+
+def test_substring_removal_when_text_hashes_clash(spark, monkeypatch):
+    monkeypatch.setattr(substring, "text_id", lambda text: F.pmod(F.xxhash64(text), F.lit(7)))
+    pairs = odd_documents(n=40)
+    got = substring.remove_repeats(documents(spark, pairs), 6).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(pairs, 6)
+
+
 def test_automaton_counts_occurrences():
     rng = random.Random(5)
     for _ in range(80):

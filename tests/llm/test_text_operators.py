@@ -1,6 +1,7 @@
 """BPE, quality, licences, PII, language and mixing on odd tables and against brute force."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -16,7 +17,7 @@ from millrace.llm import bpe, langid, licenses, mixing, pii, quality, queries
 from tests.compare import rows
 from tests.llm.fixtures import documents, empty_documents, odd_documents
 
-VOCABULARY = f"{queries.TOKENIZER_DIR}/word_bpe_49k.json"
+VOCABULARY = queries.vocabulary()
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -43,13 +44,23 @@ def test_bpe_equals_library(spark, tokenizer):
     assert sorted(r.decoded for r in again.collect()) == sorted(r.decoded for r in got)
 
 
-def test_bpe_scan_and_heap_agree(tokenizer):
+def test_bpe_scan_and_heap_agree():
     b = bpe.WordBpe.load(VOCABULARY)
     rng = random.Random(3)
-    for _ in range(200):
-        word = "".join(rng.choice("aeiorstnlth") for _ in range(rng.randrange(2, 60))).encode()
-        parts = [b.first[c] for c in word[:-1]] + [b.last[word[-1]]]
-        assert b._scan(parts.copy()) == b._heap(parts.copy())
+    found = ["".join(rng.choice("aeiorstnlthé漢") for _ in range(rng.randrange(1, 21))).encode() for _ in range(3000)]
+    assert b.merge(found) == [b._heap(b.parts(w)) for w in found]
+    b.first[ord("a")] = b.last[ord("t")] = -1  # bytes without a token
+    assert b.merge(found) == [b._heap(b.parts(w)) for w in found]
+
+
+def test_bpe_forgets_words(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    b = bpe.WordBpe.load(VOCABULARY)
+    rng = random.Random(4)
+    texts = [" ".join(f"word{rng.randrange(200)}x{'y' * rng.choice([0, 300])}" for _ in range(30)) for _ in range(40)]
+    for text in texts:
+        assert b.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(b.ids_of) + len(b.old[0]) < 100
 
 
 def test_fm_identity_and_scores(spark):
@@ -87,6 +98,47 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
 
 
+def test_language_equals_brute_force(spark):
+    """Nearest centroid by plain loops over a text's n-grams, ties included."""
+    rng = np.random.default_rng(2)
+    raw = rng.random((5, langid.DIM)).astype(np.float32)
+    raw[3] = raw[1]  # a tie: the language that sorts first
+    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    idf = rng.random(langid.DIM).astype(np.float32) + np.float32(0.5)
+    model = langid.Centroids(idf, unit, ["aa", "bb", "bb", "cc", "dd"], np.array([0.0, 0.9, 0.0, 0.0, 0.9]))
+    pairs = [(i, t) for i, t in odd_documents(n=30) if t is None or len(t) < 3000]
+
+    def predict(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0, True
+        letters = "".join(c if 97 <= ord(c) <= 122 or ord(c) >= 128 else " " for c in text.lower())
+        data = re.sub(" +", " ", letters).encode()
+        tf = np.zeros(langid.DIM)
+        for size, salt in ((2, 0x9E3779B1), (3, 0x85EBCA77)):
+            for k in range(len(data) - size + 1):
+                tf[(int.from_bytes(data[k : k + size], "big") * salt % 2**32) >> 21] += 1
+        v = np.log1p(tf) * idf
+        cos = unit @ (v / max(np.linalg.norm(v), 1e-12))
+        best = int(np.argmax(np.round(cos, 6)))
+        return model.lang[best], cos[best], cos[best] < model.reject_below[best]
+
+    want = {(i, t): predict(t) for i, t in pairs}
+    got = langid.predict(documents(spark, pairs), model).collect()
+    assert len(got) == len(pairs)
+    for r, (i, t) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id)), sorted(pairs, key=lambda p: (p[0] is None, p[0] or 0))):
+        lang, score, far = want[i, t]
+        assert (r.lang_pred, r.rejected) == (lang, far) and abs(r.score - score) < 1e-5, i
+
+
+def test_language_fit_is_bounded(spark, monkeypatch):
+    rows = [(i, f"words of language {i % 7} number {i}", f"l{i % 7}") for i in range(700)] + [(i, f"again and again {k}", f"l{i % 7}") for k in range(200) for i in range(14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes = []
+    monkeypatch.setattr(langid, "_clusters", lambda x, k, real=langid._clusters: sizes.append(len(x)) or real(x, k))
+    model = langid.fit(df, max_languages=3, max_rows=60)
+    assert len(set(model.lang)) <= 3 and 0 < sum(sizes) <= 120 and max(sizes) <= 40
+
+
 def test_language_odd_texts(spark):
     pairs = odd_documents()
     model = langid.fit(documents(spark, pairs))
@@ -123,7 +175,7 @@ PII = "Mr. Müller and Mrs Anna Smith: bob.99@mail.example.com BOB.99@mail.examp
 def test_pii_surrogates(spark):
     pairs = odd_documents() + [(700, PII), (701, "again " + PII), (702, "version 2.0, section 3.1.4, page 1234")]
     df = documents(spark, pairs)
-    got = pii.replace_pii(df).collect()
+    got = pii.replace_pii(df, "k").collect()
     assert len(got) == len(pairs)
     by_id = {r.row.doc_id: r for r in got}
     for i, t in pairs:
@@ -137,8 +189,9 @@ def test_pii_surrogates(spark):
     parts = [a.text[e.start : e.start + e.length] for e in a.entities]
     assert parts[2].lower() == parts[3].lower() and parts[3].split("@")[0].isupper()
     assert pii._luhn(parts[6].replace(" ", "")) and parts[6].count(" ") == 3
+    assert parts[11][:2] == "DE" and int(parts[11][2:4]) == pii._iban_check(parts[11])
     assert parts[1].split()[0] in pii.GIVEN["f"]
-    assert pii.replace_pii(empty_documents(spark)).count() == 0
+    assert pii.replace_pii(empty_documents(spark), "k").count() == 0
 
 
 def test_pii_long_secrets_are_replaced_whole(spark):
@@ -147,7 +200,7 @@ def test_pii_long_secrets_are_replaced_whole(spark):
         one = "".join(rng.choice(alphabet) for _ in range(699)) + "a"
         other = one[:-1] + "e"
         df = documents(spark, [(1, f"x token={one} y"), (2, f'{{"secret": "{one}"}}'), (3, f"token={other}")])
-        got = {r.row.doc_id: r for r in pii.replace_pii(df).collect()}
+        got = {r.row.doc_id: r for r in pii.replace_pii(df, "k").collect()}
         new = {i: [r.text[e.start : e.start + e.length] for e in r.entities] for i, r in got.items()}
         assert all(len(found) == 1 and len(found[0]) == 700 for found in new.values())
         assert new[1] == new[2] != new[3]
@@ -158,8 +211,8 @@ def test_pii_long_secrets_are_replaced_whole(spark):
 
 def test_pii_leaves_no_entity_in_any_script(spark):
     names = ["王小明", "李", "محمد", "שרה", "김철수", "Łł", "Žž", "Şş", "Ğ", "İİ", "Σς", "ΣΑΣ", "Ünal-Łoś", "ª", "Ա", "ก"]
-    texts = [f"Dr {n} came" for n in names] + ["1 SSN ١٢٣-٤٥-٦٧٨٩ x", "1: card ١٢٣٤ ٥٦٧٨ ٩٠١٢ ٣٤٥٢ x", "password=密码密码密码", "token=łžşłžşł"]
-    got = {r.row.doc_id: r for r in pii.replace_pii(documents(spark, list(enumerate(texts)))).collect()}
+    texts = [f"Dr {n} came" for n in names] + ["pwd=!!##$$%%", "token=«»«»→→", "Dr. שלום came", "Mr 王伟 came"] + ["1 SSN ١٢٣-٤٥-٦٧٨٩ x", "1: card ٤١١١ ١١١١ ١١١١ ١١١١ x", "password=密码密码密码", "token=łžşłžşł"]
+    got = {r.row.doc_id: r for r in pii.replace_pii(documents(spark, list(enumerate(texts))), "k").collect()}
     for i, text in enumerate(texts):
         found = pii.find(text)
         assert len(found) == len(got[i].entities) == 1, text
@@ -187,6 +240,67 @@ def test_pii_permutations_are_bijective():
     assert s.replace("ip", "10.0.0.1") != pii.Surrogates(b"other").replace("ip", "10.0.0.1")
 
 
+@pytest.mark.parametrize("kind, values", [
+    ("name", ["".join(w) for w in itertools.product("JPFX", "eaoi", "aou", "nlxz")] + list(pii._GENDER) + [n.upper() for n in pii._GENDER] + ["Ли", "Ло", "Ню", "王", "李", "שלום", "שלומ"]),
+    ("ssn", [f"{a:03}-{b:02}-{c:04}" for a in (0, 1, 666, 667, 899, 900) for b in (0, 1, 99) for c in (0, 1, 2, 9999)]),
+    ("ip", [f"{a}.{b}.0.{c}" for a in (0, 9, 10, 11, 127, 172, 192, 223, 224, 255) for b in (0, 16, 31, 168) for c in range(30)]),
+    ("card", [f"{n:012}{c}" for n in range(0, 3000, 37) for c in range(10)]),
+    ("iban", [f"DE{c:02}37040044053{n:07}" for n in (1, 2, 10) for c in range(100)]),
+    ("phone", [f"+{c} ({n:03}) 555-7713" for c in (1, 44) for n in range(1000)]),
+    ("secret", ["".join(w) for w in itertools.product("abez", "01", "ae", "f!", "dz", "9")] + ["".join(w) for w in itertools.product("!#~", repeat=6)]),
+    ("email", [f"{a}{b}@{c}.com" for a in "abcde" for b in ("", ".x", "1") for c in ("mail", "mbil", "x1")]),
+    ("key", [f"AKIA{n:016X}" for n in range(500)]),
+])
+def test_pii_surrogates_are_distinct_and_never_the_entity(kind, values):
+    for key in (b"k", b"another"):
+        s = pii.Surrogates(key)
+        for gender in ("m", "f", "n") if kind == "name" else ("n",):
+            for form in (lambda v: v, lambda v: f"{v} Zoë", lambda v: f"Anna {v}") if kind == "name" else (lambda v: v,):
+                own = list(dict.fromkeys(map(form, values)))
+                new = [s.replace(kind, v, gender) for v in own]
+                assert len(set(new)) == len(own)
+                assert all(a != b for a, b in zip(own, new))
+                assert all(pii.PATTERN.search(f"token={b}" if kind == "secret" else f"Mr {b}" if kind == "name" else b) for b in new)
+
+
+def test_pii_check_digits_and_blocks():
+    s = pii.Surrogates(b"k")
+    for n in range(300):
+        account = f"DE00{n * 7919:018}"
+        good = f"DE{pii._iban_check(account):02}{account[4:]}"
+        new = s.replace("iban", good)
+        assert int(new[4:] + "1314" + new[2:4]) % 97 == 1
+        assert s.replace("ip", f"10.1.{n % 256}.3").startswith("10.") and s.replace("ip", f"192.168.{n % 256}.3").startswith("192.168.")
+        body = f"{411111111111 + n * 104729:015}"
+        assert pii._luhn(s.replace("card", f"{body}{pii._luhn_check(body)}"))
+        assert pii._possible_ssn(s.replace("ssn", f"123-{n % 99 + 1:02}-{n + 1:04}"))
+
+
+def test_pii_names_follow_gender_and_title():
+    s = pii.Surrogates(b"k")
+    assert {s.replace("name", f"{n} Meier", "n").split()[0] in pii.GIVEN[g] for n, g in pii._GENDER.items()} == {True}
+    assert s.replace("name", "Friederike Meier", "f").split()[0].endswith("ina") and s.replace("name", "Friederike Meier", "m").split()[0].endswith("us")
+    assert s.replace("name", "Friederike Meier", "f") == s.replace("name", "Friederike Meier", "n")
+    assert s.replace("name", "Friederike Meier", "f").split()[1] == s.replace("name", "Meier") == s.replace("name", "Jo Meier", "m").split()[1]
+    assert s.replace("name", "Иван Петров", "m").split()[0].endswith("ий")
+    found = pii.find("We met Anna Smith. My name is Bo Diddley, 4111 1111 1111 1112 is no card.")
+    assert [(k, a, b) for k, a, b, _ in found] == [("name", 7, 17), ("name", 30, 40)]
+
+
+def test_pii_clashes_are_repaired():
+    s = pii.Surrogates(b"k")
+    one = "10.0.0.1"
+    other = s.replace("ip", one)
+    text, own, clashes, repaired = pii.rewrite(f"{one} {other} {one}", s)
+    a, b, c = text.split()
+    assert repaired == 2 and clashes == 0 and a == c != b and not {a, b} & {one, other}
+    everyone = [f"Mr {n}" for n in pii.GIVEN["m"]]
+    text, own, clashes, repaired = pii.rewrite(", ".join(everyone), s)
+    assert clashes > 0 and len({text[i : i + n] for _, i, n in own}) == len(everyone)
+    with pytest.raises(ValueError):
+        pii.replace_pii(None, "")
+
+
 def test_mixing_targets():
     rng = random.Random(4)
     for _ in range(50):
@@ -201,7 +315,7 @@ def test_mixing_targets():
 
 def test_mixing_takes_what_it_aims_at(spark):
     pairs = odd_documents()
-    df = documents(spark, pairs).drop("size")
+    df = documents(spark, pairs)
     got = mixing.mix(df).collect()
     assert len(got) == len(pairs)
     taken, target, size = defaultdict(int), {}, defaultdict(int)
@@ -214,7 +328,7 @@ def test_mixing_takes_what_it_aims_at(spark):
     assert all(r.source_size == size[r.source] for r in got)
     assert all(abs(taken[s] - target[s]) < 1 for s in target)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(3)).collect()))
-    assert mixing.mix(empty_documents(spark).drop("size")).count() == 0
+    assert mixing.mix(empty_documents(spark)).count() == 0
 
 
 def test_mixing_samples_by_weight(spark):
@@ -226,6 +340,66 @@ def test_mixing_samples_by_weight(spark):
     assert 2.2 < n[1] / n[0] < 3.2
 
 
+def brute_force_mix(rows, weight, share=1.5, seed="mix"):
+    """(doc_id, source, size) -> words taken, by sorting each source's documents by their keys."""
+    sizes = defaultdict(int)
+    for _, source, n in rows:
+        sizes[source] += n
+    target, out = mixing.targets(sizes, (3, 1, 2), share, 2.0), Counter()
+    for source in sizes:
+        drawn = []
+        for i, s, n in rows:
+            if s == source:
+                u = (int(hashlib.md5((seed + ("" if i is None else str(i))).encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+                drawn.append((-math.log(u) / weight(i), i is not None, i or 0, n))
+        epochs = min(int(target[source] // sizes[source]), 2) if sizes[source] else 0
+        left = int(target[source] - epochs * sizes[source])
+        for _, known, i, n in sorted(drawn):
+            part = min(n, left)
+            left -= part
+            out[i if known else None, source, n, epochs * n + part] += 1
+    return out
+
+
+def test_mixing_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", "é", None]), rng.choice([0, 1, rng.randrange(200)])) for i in range(3000)] + [(None, "a", 7)] * 3 + [(5000, "b", 9)] * 40
+    rows += [(6000 + i, "hot", 5) for i in range(3000)] + [(10_000, "one", 50)] + [(20_000, "same", 3)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    monkeypatch.setattr(mixing, "FEW", 20)  # refine slices again and again
+    monkeypatch.setattr(mixing, "SLICES", 16)
+    for w in (1.0, 0.01):
+        weight = F.when(F.col("doc_id") % 2 == 0, w).otherwise(0.5)
+        for share in (1.5, 0.37):
+            got = Counter((r.doc_id, r.source, r.size, r.taken) for r in mixing.mix(df, quality=weight, size=F.col("size"), share=share).collect())
+            assert got == brute_force_mix(rows, lambda i: w if i is not None and i % 2 == 0 else 0.5, share)
+
+
+def test_mixing_keeps_what_it_mixes(spark):
+    rows = [(i, "s", f"a b c{i}", "x") for i in range(20)] + [(7, "s", "other words now", "y")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, size string")
+    got = mixing.mix(df.withColumn("row", F.struct(*df.columns)), share=0.5, keep=("row",))
+    out = mixing.apply(got, "row").collect()
+    assert sum(len(r.text.split()) for r in out) == got.agg(F.sum("taken")).first()[0] == 33
+    assert {r.size for r in out} <= {"x", "y"}
+
+
+def test_mixing_text_quality(spark):
+    df = spark.createDataFrame([("plain words, here",), ("#$% 123 !!! |||",), ("",), (None,), ("漢字 é",)], "text string")
+    w = [r[0] for r in df.select(mixing.text_quality()).collect()]
+    assert w[0] > 0.8 and w[1:4] == [0.05] * 3 and w[4] == 1
+
+
+def test_license_texts_are_found_by_their_paragraphs(spark):
+    by_name = defaultdict(list)
+    for name, text in licenses.TEMPLATES:
+        by_name[name].append(text)
+    pairs = [(k, "Copyright (c) 2001 Someone\n\n" + "\n\n".join(t.replace(", ", ",\n") for t in texts)) for k, texts in enumerate(by_name.values())]
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, pairs)).collect()}
+    for k, (name, texts) in enumerate(by_name.items()):
+        assert got[k].dice == 1 and got[k].n_units >= len(texts) and (got[k].license == name or name in ("BSD-2-Clause", "CC-BY-4.0")), name
+
+
 def test_license_sql_takes_long_units(spark):
     import duckdb
 
@@ -237,3 +411,14 @@ def test_license_sql_takes_long_units(spark):
     want = rows(c.sql(licenses.scan_sql()).df())
     assert rows(licenses.scan(documents(spark, [(1, text)])).toPandas()) == want
     assert want[1][0][want[0].index("n_units")] == 1
+
+
+def test_fit_is_bounded_whatever_the_table_repeats(spark, monkeypatch):
+    pairs = [(100 + k, f"word{k} and some more of it") for k in range(40)] + [(100, f"text {k}") for k in range(3000)]
+    labels = spark.createDataFrame([(100 + k, k % 2) for k in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "_train", lambda table, *_: seen.append(table) or quality.Model(0.0, np.zeros(quality.FEATURES), np.zeros((quality.FEATURES, 1))))
+    quality.fit(documents(spark, pairs), labels, max_rows=5)
+    quality.fit(documents(spark, pairs), labels, max_features=100)
+    assert [t.num_rows for t in seen][0] == 5
+    assert 1 <= seen[1].num_rows < 20 and sum(map(len, seen[1]["idx"].to_pylist())) <= 100
