@@ -88,7 +88,7 @@ def release(spark: SparkSession) -> None:
     """Between the steps of a long job: let Spark's cleaner delete shuffle files and broadcasts that nothing refers to, and let
     the executors' heaps shrink to what is in use. A heap that has grown stays so otherwise, and later steps' Python
     workers need their memory beside it."""
-    gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
     n = max(1, spark.sparkContext.defaultParallelism)
     spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
