@@ -123,9 +123,10 @@ def json_get(c: Column, path: str) -> Column:
 
 
 def json_set(c: Column, key: str, value: Column) -> Column:
-    """A flat JSON object of text values with one member set."""
-    members = F.from_json(c, "map<string,string>")
-    return F.to_json(F.map_concat(F.map_filter(members, lambda k, _: k != F.lit(key)), F.create_map(F.lit(key), value.cast("string"))))
+    """A JSON object with one member set, behind all others; every member keeps its type."""
+    members = F.from_json(c, "map<string,variant>")
+    new = F.variant_get(F.parse_json(F.to_json(F.struct(value.alias("v")))), "$.v", "variant")
+    return F.to_json(F.map_concat(F.map_filter(members, lambda k, _: k != F.lit(key)), F.create_map(F.lit(key), new)))
 
 
 def year_after(c: Column, year: int) -> Column:

@@ -50,7 +50,7 @@ _select("fn_substring", "part", "SELECT p_partkey, substr(p_name, 3, 4) AS s, su
 _select("fn_find", "part", "SELECT p_partkey, CAST(instr(p_name, 'e') - 1 AS INTEGER) AS at FROM part", lambda: ["p_partkey", fn.find(c("p_name"), "e").alias("at")])
 _select("fn_starts_with", "part", "SELECT p_partkey, substr(p_name, 2, 2) = 're' AS hit FROM part", lambda: ["p_partkey", fn.starts_with(c("p_name"), "re", 1).alias("hit")])
 _select("fn_length", "part", "SELECT p_partkey, CAST(length(p_name) AS INTEGER) AS n, substr(p_name, 2, 1) AS ch FROM part", lambda: ["p_partkey", F.length("p_name").alias("n"), fn.char_at(c("p_name"), 1).alias("ch")])
-_select("fn_decode", "part", "SELECT p_partkey, p_name AS ascii_text, p_name AS utf8_text FROM part", lambda: ["p_partkey", fn.decode_ascii(F.encode("p_name", "US-ASCII")).alias("ascii_text"), fn.decode_utf8(F.encode("p_name", "UTF-8")).alias("utf8_text")])
+_select("fn_decode", "part", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS ascii_text, 'é€' || p_name AS utf8_text FROM part", lambda: ["p_partkey", fn.decode_ascii(F.unhex(F.regexp_replace(c("p_size").cast("string"), "([0-9])", "3$1"))).alias("ascii_text"), fn.decode_utf8(F.concat(F.unhex(F.lit("C3A9E282AC")), c("p_name").cast("binary"))).alias("utf8_text")])
 _select("fn_lower", "customer", "SELECT c_custkey, lower(c_name) AS s FROM customer", lambda: ["c_custkey", fn.to_lower(c("c_name")).alias("s")])
 _select("fn_replace_non_word", "documents", r"SELECT doc_id, md5(regexp_replace(text, '[^\p{L}\p{Nd}_]', ' ', 'g')) AS s FROM documents", lambda: ["doc_id", F.md5(fn.replace_non_word(c("text"))).alias("s")])
 _select("fn_tokenize", "part", r"SELECT p_partkey, len(list_filter(string_split_regex(p_name, '\s+'), lambda w: w <> '')) AS n FROM part", lambda: ["p_partkey", F.size(fn.tokenize(c("p_name"))).cast("long").alias("n")])
@@ -81,6 +81,7 @@ def _pair():
 _select("fn_pair", "customer", "SELECT c_custkey, c_nationkey AS first, c_mktsegment AS second FROM customer", lambda: ["c_custkey", _pair()["first"].alias("first"), _pair()["second"].alias("second")])
 _select("fn_json", "events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", lambda: ["event_id", fn.json_get(c("props"), "$.k").cast("long").alias("k")])
 _select("fn_json_set", "events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS t FROM events", lambda: ["event_id", fn.json_get(fn.json_set(c("props"), "t", c("event_type")), "$.k").cast("long").alias("k"), fn.json_get(fn.json_set(c("props"), "t", c("event_type")), "$.t").alias("t")])
+_select("fn_json_typed", "events", """SELECT event_id, '{"k":' || CAST(json_extract(props, '$.k') AS BIGINT) || ',"t":3}' AS s FROM events""", lambda: ["event_id", fn.json_set(c("props"), "t", F.lit(3)).alias("s")])
 _select("fn_json_variant", "events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", lambda: ["event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k")])
 _select("fn_number_text", "supplier", "SELECT s_suppkey, CAST(s_suppkey AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS bad, s_suppkey + 0.5 AS comma FROM supplier", lambda: ["s_suppkey", fn.parse_number(c("s_suppkey").cast("string")).alias("n"), fn.parse_number(F.concat(F.lit("x"), c("s_suppkey"))).alias("bad"), fn.parse_number(F.concat(c("s_suppkey"), F.lit(",5")), decimal=",").alias("comma")])
 _select("fn_format", "supplier", "SELECT s_suppkey, printf('%.1f', s_suppkey * 1.0) AS s FROM supplier", lambda: ["s_suppkey", fn.format_number(c("s_suppkey").cast("double"), "%.1f").alias("s")])
