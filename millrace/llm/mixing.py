@@ -17,36 +17,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from millrace.llm.common import WORD_PATTERN, cut
+from millrace.llm.common import WORD_PATTERN, broadcast_if_small, cut
+from millrace.operators.ordering import placed
 
 #: Slices into which a key range is cut at a time.
 SLICES = 4096
 #: Documents of a slice that are sorted.
 FEW = 10_000
-#: Sources whose sums the driver holds at most; more is an error, never a cut.
-MAX_SOURCES = 1_000_000
-
-
-def targets(sizes: dict, weights: Sequence[float], share: float, cap: float) -> dict:
-    """Target words of each source. Sources are taken by code point, null last; weights repeat. The budget is ``share``
-    of all sizes; a target stops at ``cap`` times its source's size and the excess is shared again by weight among
-    the others, until no target is above its cap."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    left, free, out = share * sum(sizes.values()), list(names), {}
-    while free:
-        unit = left / sum(weight[s] for s in free)
-        full = [s for s in free if unit * weight[s] > cap * sizes[s]]
-        if not full:
-            out |= {s: unit * weight[s] for s in free}
+
+
+def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """Sizes (source, n and more, one row per source) with the source's ``target`` words. Sources are taken by code point, null
+    last; weights repeat. The budget is ``share`` of all sizes; a target stops at ``cap`` times its source's size and
+    the excess is shared again by weight among the others, until no target is above its cap. Sources are never
+    gathered: what a unit of weight gets rises from pass to pass over them, and a pass gives two sums."""
+    places = placed(sizes.orderBy(F.col("source").asc_nulls_last()), "__rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("__rank") - 1) % len(weights) + 1).cast("int"))
+    rows = cut(places.withColumn("__weight", weight).withColumn("__full", F.col("n") * float(cap)).drop("__rank"))
+    budget = share * (rows.agg(F.sum("n")).first()[0] or 0)
+    unit = 0.0
+    while True:
+        is_full = F.lit(unit) * F.col("__weight") > F.col("__full")
+        full, free = rows.agg(F.sum(F.when(is_full, F.col("__full"))), F.sum(F.when(~is_full, F.col("__weight")))).first()
+        new = (budget - (full or 0)) / free if free else float("inf")
+        if new <= unit:
             break
-        for s in full:
-            out[s] = float(cap * sizes[s])
-            left -= out[s]
-        free = [s for s in free if s not in out]
-    return out
+        unit = new
+    target = F.least(F.col("__full"), F.lit(unit) * F.col("__weight"))
+    return rows.withColumn("target", target).drop("__weight", "__full")
 
 
 def n_words(text: str | Column = "text") -> Column:
@@ -71,41 +70,35 @@ def _place(*columns: str) -> Column:
     return F.struct(*(F.col(c) for c in columns))
 
 
-def _ends(drawn: DataFrame, plan: dict) -> list[tuple]:
-    """For each source with words (source, key, id, size, n, whole, rest): the place in its order at which the budget ends, where n
-    equal documents stand, of which ``whole`` are taken and ``rest`` words of one more. plan: source -> (words of the
-    incomplete epoch, largest key). The driver holds a few numbers for each source."""
-    spark = drawn.sparkSession
-    kinds = [("__of", drawn.schema["source"].dataType), ("__rest", T.DoubleType()), ("__lo", T.DoubleType()), ("__hi", T.DoubleType()), ("__base", T.LongType())]
-    schema = T.StructType([T.StructField(n, t) for n, t in kinds])
+def _ends(drawn: DataFrame, plan: DataFrame) -> DataFrame:
+    """For each source of the plan (source, rest: words of its incomplete epoch, high: its largest key) the place in its order at
+    which the budget ends: (__of, __end_key, __end_id, __end_size, __equal, __whole, __words); there stand so many equal
+    documents, of which the first are taken whole and so many words of one more."""
 
-    def within(ranges: dict) -> DataFrame:
+    def within(ranges: DataFrame) -> DataFrame:
         """Documents in their source's range of keys."""
-        rows = spark.createDataFrame([(s, plan[s][0], *ranges[s]) for s in ranges], schema)  # one row per source, MAX_SOURCES at most
-        return drawn.join(F.broadcast(rows), F.col("source").eqNullSafe(F.col("__of")) & F.col("__key").between(F.col("__lo"), F.col("__hi")))
+        return drawn.join(broadcast_if_small(ranges), F.col("source").eqNullSafe(F.col("__of")) & F.col("__key").between(F.col("__lo"), F.col("__hi")))
 
     by_source = Window.partitionBy("__of").rowsBetween(Window.unboundedPreceding, -1)
     last = (F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("n") > F.col("__rest"))
-    found, ranges = {}, {s: (0.0, high, 0) for s, (_, high) in plan.items()}
-    while ranges:
+    ranges = plan.select(F.col("source").alias("__of"), F.col("rest").alias("__rest"), F.lit(0.0).alias("__lo"), F.col("high").alias("__hi"), F.lit(0).cast("long").alias("__base"))
+    found = None
+    while True:
         width = F.col("__hi") - F.col("__lo")
         part = F.when(width > 0, F.least(F.floor((F.col("__key") - F.col("__lo")) / width * SLICES), F.lit(SLICES - 1))).otherwise(0).cast("int")
         slices = within(ranges).groupBy("__of", "__rest", "__base", part.alias("__slice"))
         slices = slices.agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("__key").alias("low"), F.max("__key").alias("high"))
         before = F.coalesce(F.sum("n").over(by_source.orderBy("__slice")), F.lit(0)) + F.col("__base")
-        ends = slices.withColumn("__before", before).where(last).collect()
-        ranges = {}
-        for r in ends:
-            (found if r["rows"] <= FEW or r["low"] == r["high"] else ranges)[r["__of"]] = (r["low"], r["high"], r["__before"])
-    if not found:
-        return []
+        ends = cut(slices.withColumn("__before", before).where(last))
+        few = (F.col("rows") <= FEW) | (F.col("low") == F.col("high"))
+        ranges, done = (ends.where(c).select("__of", "__rest", F.col("low").alias("__lo"), F.col("high").alias("__hi"), F.col("__before").alias("__base")) for c in (~few, few))
+        found = done if found is None else found.union(done)
+        if ranges.isEmpty():
+            break
     equal = within(found).groupBy("__of", "__rest", "__base", "__key", "doc_id", "size").agg(F.count(F.lit(1)).alias("rows")).withColumn("n", F.col("size") * F.col("rows"))
     before = F.coalesce(F.sum("n").over(by_source.orderBy("__key", "doc_id", "size")), F.lit(0)) + F.col("__base")
-    out = []
-    for r in equal.withColumn("__before", before).where(last).collect():
-        left = int(r["__rest"] - r["__before"])
-        out.append((r["__of"], r["__key"], r["doc_id"], r["size"], r["rows"], left // r["size"], left % r["size"]))
-    return out
+    ends = equal.withColumn("__before", before).where(last).withColumn("left", F.floor(F.col("__rest") - F.col("__before")).cast("long"))
+    return ends.select("__of", F.col("__key").alias("__end_key"), F.col("doc_id").alias("__end_id"), F.col("size").alias("__end_size"), F.col("rows").alias("__equal"), F.expr("left div size").alias("__whole"), F.expr("left % size").alias("__words"))
 
 
 def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, quality: Column | None = None, seed: str = "mix", keep: Sequence[str] = (), size: Column | None = None) -> DataFrame:
@@ -123,22 +116,18 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
     size = size if size is not None else n_words("text")
     rows = df.select("doc_id", "source", *keep, size.cast("long").alias("size"), (-F.log(uniform("doc_id", seed)) / weight).alias("__key"))
     drawn = cut(rows.select("doc_id", "source", "size", "__key"))
-    totals = drawn.groupBy("source").agg(F.sum("size").alias("n"), F.max("__key").alias("high")).limit(MAX_SOURCES + 1).collect()  # one row per source
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["source"]: int(r["n"]) for r in totals}
-    target = targets(sizes, weights, share, cap)
-    epochs = {s: min(int(target[s] // n), int(cap)) if n else 0 for s, n in sizes.items()}
-    ends = _ends(drawn, {r["source"]: (float(target[r["source"]]) - epochs[r["source"]] * r["n"], r["high"]) for r in totals if r["n"]})
-    end_of = {e[0]: e[1:] for e in ends}
-    kinds = [("__of", df.schema["source"].dataType), ("source_size", T.LongType()), ("target", T.DoubleType()), ("__epochs", T.LongType()), ("__end_key", T.DoubleType()), ("__end_id", df.schema["doc_id"].dataType), ("__end_size", T.LongType()), ("__equal", T.LongType()), ("__whole", T.LongType()), ("__words", T.LongType())]
-    plan = df.sparkSession.createDataFrame([(s, sizes[s], float(target[s]), epochs[s], *end_of.get(s, (None,) * 6)) for s in sizes], T.StructType([T.StructField(n, t) for n, t in kinds]))
-
-    out = (rows if keep else drawn).join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__of")), "left").drop("__of")  # one row per source
+    plan = targets(drawn.groupBy("source").agg(F.sum("size").alias("n"), F.max("__key").alias("high")), weights, share, cap)
+    times = F.floor(F.col("target") / F.col("n"))
+    times = F.when(F.col("n") > 0, F.least(times - (times * F.col("n") > F.col("target")).cast("long"), F.lit(int(cap)))).otherwise(0).cast("long")
+    plan = cut(plan.withColumn("__epochs", times).withColumn("rest", F.col("target") - F.col("__epochs") * F.col("n")))
+    ends = cut(_ends(drawn, plan.where("n > 0")))
+    plan = plan.select(F.col("source").alias("__source"), F.col("n").alias("source_size"), "target", "__epochs")
+    plan = plan.join(ends, F.col("__source").eqNullSafe(F.col("__of")), "left").drop("__of")
+    out = (rows if keep else drawn).join(broadcast_if_small(cut(plan)), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     here, end = _place("__key", "doc_id", "size"), _place("__end_key", "__end_id", "__end_size")
     at_end = F.col("__end_key").isNotNull() & (here == end)
     out = out.withColumn("partial", F.when(F.col("__end_key").isNotNull() & (here < end), F.col("size")).when(at_end, F.when(F.col("__whole") > 0, F.col("size")).otherwise(F.col("__words"))).otherwise(0))
-    if any(e[4] > 1 for e in ends):  # equal documents at an end: the first are taken whole, one in part
+    if not ends.where("__equal > 1").isEmpty():  # equal documents at an end: the first are taken whole, one in part
         tied = F.coalesce(at_end & (F.col("__equal") > 1), F.lit(False))
         place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
         own = F.when(place <= F.col("__whole"), F.col("size")).when(place == F.col("__whole") + 1, F.col("__words")).otherwise(0)

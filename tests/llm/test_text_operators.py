@@ -301,16 +301,30 @@ def test_pii_clashes_are_repaired():
         pii.replace_pii(None, "")
 
 
-def test_mixing_targets():
+def plain_targets(sizes, weights, share, cap):
+    """source -> target, by sharing the excess again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, free, out = share * sum(sizes.values()), names, {}
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        full = [s for s in free if unit * weight[s] > cap * sizes[s]]
+        out |= {s: float(cap * sizes[s]) for s in full} if full else {s: unit * weight[s] for s in free}
+        left -= sum(out[s] for s in full)
+        free = [s for s in free if s not in out]
+    return out
+
+
+def test_mixing_targets(spark):
     rng = random.Random(4)
-    for _ in range(50):
-        sizes = {s: rng.randrange(0, 1000) for s in [None, "b", "a", "c", "é"][: rng.randrange(1, 6)]}
-        t = mixing.targets(sizes, (3, 1, 2), 1.5, 2.0)
+    for n in (0, 1, 2, 3, 5, 60):
+        names = [None, "b", "a", "c", "é", *(f"s{k}" for k in range(60))][:n]
+        sizes = {s: rng.choice([0, 1, rng.randrange(1000)]) for s in names}
+        df = spark.createDataFrame(list(sizes.items()), "source string, n long").repartition(3)
+        t = {r.source: r.target for r in mixing.targets(df, (3, 1, 2), 1.5, 2.0).collect()}
+        assert t == pytest.approx(plain_targets(sizes, (3, 1, 2), 1.5, 2.0))
         assert sum(t.values()) == pytest.approx(1.5 * sum(sizes.values()))
-        assert all(t[s] <= 2 * sizes[s] + 1e-9 for s in sizes)
-        names = sorted(sizes, key=lambda s: (s is None, s or ""))
-        unit = {t[s] / (3, 1, 2)[i % 3] for i, s in enumerate(names) if t[s] < 2 * sizes[s] - 1e-9}
-        assert max(unit, default=0) - min(unit, default=0) < 1e-6
+        assert all(t[s] <= 2 * sizes[s] for s in sizes)
 
 
 def test_mixing_takes_what_it_aims_at(spark):
@@ -345,7 +359,7 @@ def brute_force_mix(rows, weight, share=1.5, seed="mix"):
     sizes = defaultdict(int)
     for _, source, n in rows:
         sizes[source] += n
-    target, out = mixing.targets(sizes, (3, 1, 2), share, 2.0), Counter()
+    target, out = plain_targets(sizes, (3, 1, 2), share, 2.0), Counter()
     for source in sizes:
         drawn = []
         for i, s, n in rows:
