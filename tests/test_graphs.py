@@ -95,3 +95,20 @@ def test_delta_iteration_may_be_limited(spark):
     step = lambda workset, _: workset.join(both, workset.vid == both.src).selectExpr("dst AS vid", "cid")
     with pytest.raises(RuntimeError, match="2 rounds"):
         delta(start, start, step, "vid", "cid", rounds=2)
+
+
+CROWDS = [tuple(range(20)), (5, 30, 31), (31, 40), (50, 51, 52), (60,), (0, 1, 19), (70, 200_000)]
+
+
+@pytest.mark.parametrize("form", ["components", "components_delta", "components_bulk"])
+def test_components_see_no_more_edges_than_memberships(spark, events, monkeypatch, form):
+    seen = []
+    monkeypatch.setattr(graph, form, lambda edges, real=getattr(graph, form): seen.append(edges.count()) or real(edges))
+    folder, c = events(CROWDS)
+    assert rows(QUERIES[form](spark, folder).toPandas()) == rows(c.sql(SQL[form]).df())
+    assert seen[0] <= sum(map(len, CROWDS))
+
+
+def test_metis_parts_of_large_ids(spark, events):
+    folder, c = events(CROWDS)
+    assert rows(QUERIES["metis_partition"](spark, folder).toPandas()) == rows(c.sql(SQL["metis_partition"]).df())
