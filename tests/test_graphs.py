@@ -1,11 +1,12 @@
 """Registered graph queries on small event tables, against plain Python and the registered SQL."""
 
+import random
 from datetime import datetime, timedelta
 
 import duckdb
 import pytest
 
-from millrace.operators import delta, graph
+from millrace.operators import delta, graph, meetings
 from millrace.plans import all_queries
 from tests.compare import rows
 
@@ -112,3 +113,19 @@ def test_components_see_no_more_edges_than_memberships(spark, events, monkeypatc
 def test_metis_parts_of_large_ids(spark, events):
     folder, c = events(CROWDS)
     assert rows(QUERIES["metis_partition"](spark, folder).toPandas()) == rows(c.sql(SQL["metis_partition"]).df())
+
+
+def crowds(seed, people, minutes, most):
+    rng = random.Random(seed)
+    return [tuple(rng.sample(range(people), rng.randint(1, most))) for _ in range(minutes)]
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("folk", [CROWDS, crowds(1, 400, 150, 4), [], [(1,), (2,)]])
+def test_closure_makes_no_pairs_of_edges(spark, events, monkeypatch, limit, folk):
+    seen = []
+    monkeypatch.setattr(meetings, "LIMIT", limit)
+    monkeypatch.setattr(graph, "transitive_closure", lambda edges, real=graph.transitive_closure: seen.append(edges.count()) or real(edges))
+    folder, c = events(folk)
+    assert rows(QUERIES["transitive_closure"](spark, folder).toPandas()) == rows(c.sql(SQL["transitive_closure"]).df())
+    assert all(n <= sum(map(len, folk)) for n in seen)
