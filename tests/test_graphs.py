@@ -129,3 +129,23 @@ def test_closure_makes_no_pairs_of_edges(spark, events, monkeypatch, limit, folk
     folder, c = events(folk)
     assert rows(QUERIES["transitive_closure"](spark, folder).toPandas()) == rows(c.sql(SQL["transitive_closure"]).df())
     assert all(n <= sum(map(len, folk)) for n in seen)
+
+
+PAIRWISE = ["edges", "undirected", "adjacency", "adjacency_directed", "adjacency_edges", "metis_lines"]
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("name", [*PAIRWISE, "pagerank"])
+def test_pairs_of_groups_equal_sql(spark, events, monkeypatch, name, limit):
+    monkeypatch.setattr(meetings, "LIMIT", limit)
+    monkeypatch.setattr(meetings, "BATCH", 50)
+    folder, c = events([*CROWDS, *crowds(2, 90, 60, 8), *((1000 + i, 1100 + i) for i in range(40))])
+    assert rows(QUERIES[name](spark, folder).toPandas()) == rows(c.sql(SQL[name]).df())
+
+
+@pytest.mark.parametrize("name", PAIRWISE)
+def test_pairs_of_groups_are_not_shuffled(spark, events, name):
+    folder, _ = events(CROWDS)
+    plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+    assert plan.count("Exchange") == (2 if name == "metis_lines" else 0)
