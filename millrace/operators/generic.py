@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +83,54 @@ def reduce_(df: DataFrame, keys: str | Sequence[str], *aggregates: Column, fn: P
     return _project(df, reads).groupBy(*keys).applyInPandas(whole, schema)
 
 
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by keys, in frames of whole groups: a batch's last group waits for the next batch."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = batch[keys].iloc[-1]
+        same = np.logical_and.reduce([((batch[k] == last[k]) | (batch[k].isna() & pd.isna(last[k]))).to_numpy(dtype=bool) for k in keys])
+        cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+        if cut:
+            yield pd.concat([*held, batch.iloc[:cut]], ignore_index=True)
+            held = [batch.iloc[cut:]]
+        elif held and not _same_key(held[0], batch, keys):
+            yield pd.concat(held, ignore_index=True)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _same_key(a: pd.DataFrame, b: pd.DataFrame, keys: list[str]) -> bool:
+    return all(x == y or pd.isna(x) and pd.isna(y) for x, y in zip(a[keys].iloc[-1], b[keys].iloc[0]))
+
+
+def groups_reduce(df: DataFrame, keys: str | Sequence[str], fn: PandasMap, schema: str, reads: Sequence[str] | None = None) -> DataFrame:
+    """Opaque reduce for many small groups: ``fn`` gets frames of any number of whole groups, sorted by the keys, so that its cost
+    is that of rows, not that of a call and a frame for each group."""
+    keys = names(keys)
+    rows = _project(df, reads)
+    require_columns(rows, keys, "groups_reduce")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda batches: (fn(g) for g in _whole_groups(batches, keys)), schema)
+
+
+def groups_cogroup(left: DataFrame, right: DataFrame, keys: str | Sequence[str], fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, left_reads: Sequence[str] | None = None, right_reads: Sequence[str] | None = None) -> DataFrame:
+    """The same for co-groups: ``fn`` gets the rows of any number of keys in full, those of the left and those of the right side.
+    Columns that both sides have must be of one type."""
+    keys = names(keys)
+    sides = [_project(left, left_reads), _project(right, right_reads)]
+    columns = [df.columns for df in sides]
+    both = sides[0].withColumn("__side", F.lit(0)).unionByName(sides[1].withColumn("__side", F.lit(1)), allowMissingColumns=True)
+
+    def each(g: pd.DataFrame) -> pd.DataFrame:
+        return fn(*(g.loc[g["__side"] == n, columns[n]].reset_index(drop=True) for n in (0, 1)))
+
+    return groups_reduce(both, keys, each, schema)
+
+
 def sorted_reduce(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str], fn: Callable[[tuple, Iterator], Iterator[tuple]], schema: str, reads: Sequence[str] | None = None) -> DataFrame:
     """Secondary sort: ``fn(key, rows)`` sees a group's rows (named tuples) one after another, in ascending ``order`` (nulls first),
     and yields tuples of ``schema``. Spark sorts the rows, spilling to disk, and a group is never held as a whole."""

@@ -52,10 +52,11 @@ def reduce_native(spark, sf_dir):
 
 @query("reduce_python", _REDUCE)
 def reduce_python(spark, sf_dir):
-    def total(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"o_custkey": [g.o_custkey.iloc[0]], "n": [len(g)], "total": [round(g.o_totalprice.sum(), 2)]})
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows.groupby("o_custkey", dropna=False, sort=False).o_totalprice
+        return pd.DataFrame({"n": out.size(), "total": out.sum(min_count=1).round(2)}).reset_index().astype({"o_custkey": "Int64"})
 
-    return O.reduce_(_orders(spark, sf_dir), "o_custkey", fn=total, schema="o_custkey long, n long, total double", reads=["o_custkey", "o_totalprice"])
+    return O.groups_reduce(_orders(spark, sf_dir), "o_custkey", total, "o_custkey long, n long, total double", reads=["o_custkey", "o_totalprice"])
 
 
 @query("reduce_combine", "SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY o_orderpriority")

@@ -11,6 +11,7 @@ from millrace import functions as fn
 from millrace import operators as O
 from millrace.operators import graph
 from millrace.operators.ordering import in_order, placed
+from millrace.plans import all_queries
 
 
 def kv(spark, pairs):
@@ -201,3 +202,41 @@ def test_places_and_order(spark):
     assert [r.place for r in sorted(got, key=lambda r: r.x)] == list(range(1, 5001))
     assert not in_order(df, F.col("x")).where("NOT in_order").isEmpty()
     assert in_order(df.sortWithinPartitions("x"), F.col("x")).where("NOT in_order").isEmpty()
+
+
+def test_groups_come_whole_in_few_calls(spark):
+    calls = spark.sparkContext.accumulator(0)
+    pairs = some(9, 3000, 700) + [(701, 1)] * 500 + [(None, 5)] * 40
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+
+        def total(g):
+            calls.add(1)
+            return g.groupby("k", dropna=False).v.agg(n="size", v="sum").reset_index().astype({"k": "Int64"})
+
+        got = sorted(map(tuple, O.groups_reduce(kv(spark, pairs), "k", total, "k int, n long, v long").collect()), key=str)
+        other = kv(spark, some(10, 900, 900)).withColumnRenamed("v", "w")
+
+        def both(a, b):
+            a, b = a.groupby("k").v.sum(), b.groupby("k").w.sum()
+            return pd.concat([a, b], axis=1).rename_axis("k").reset_index().astype("Int64")[["k", "v", "w"]]
+
+        met = {r.k: (r.v, r.w) for r in O.groups_cogroup(kv(spark, pairs).dropna(), other, "k", both, "k int, v long, w long").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, right = defaultdict(list), defaultdict(list)
+    for k, v in pairs:
+        want[k].append(v)
+    for k, v in some(10, 900, 900):
+        right[k].append(v)
+    assert got == sorted(((k, len(v), sum(v)) for k, v in want.items()), key=str)
+    assert calls.value < 100
+    total = lambda x: sum(x) if x else None
+    assert met == {k: (total(want.get(k)), total(right.get(k))) for k in (set(want) | set(right)) - {None}}
+
+
+@pytest.mark.parametrize("name", ["reduce_python", "cogroup_python"])
+def test_python_groups_are_not_called_one_by_one(spark, sf_dir, name):
+    plan = all_queries()[0][name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan or "PythonMapInArrow" in plan or "MapInArrow" in plan
+    assert "FlatMap" not in plan
