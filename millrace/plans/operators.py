@@ -187,11 +187,12 @@ def cogroup_native(spark, sf_dir):
 @query("cogroup_python", _COGROUP)
 def cogroup_python(spark, sf_dir):
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        key = (a if len(a) else b).k.iloc[0]
-        return pd.DataFrame({"k": [key], "n_orders": pd.array([len(a) or None], dtype="Int64"), "n_events": pd.array([len(b) or None], dtype="Int64")})
+        n = [side.groupby("k", dropna=False).size().rename(name).reset_index() for side, name in ((a, "n_orders"), (b, "n_events"))]
+        met = n[0].dropna().merge(n[1].dropna(), how="outer", on="k")
+        return pd.concat([met, *(x[x.k.isna()] for x in n)]).reindex(columns=["k", "n_orders", "n_events"]).astype("Int64")
 
     a, b = _cogroup_sides(spark, sf_dir)
-    return O.cogroup(a, b, "k", fn=count, schema="k long, n_orders long, n_events long")
+    return O.groups_cogroup(a, b, "k", count, "k long, n_orders long, n_events long")
 
 
 @query("union_all", "SELECT user_id AS k FROM events WHERE event_type = 'purchase' UNION ALL SELECT o_custkey FROM orders UNION ALL SELECT c_custkey FROM customer")
