@@ -232,14 +232,35 @@ def union(*inputs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), inputs)
 
 
-def self_match(df: DataFrame, key: str, order: str, mode: str = "triangle_excl_diag", suffixes: tuple[str, str] = ("_l", "_r")) -> DataFrame:
+def self_match(df: DataFrame, key: str, order: str, mode: str = "triangle_excl_diag", suffixes: tuple[str, str] = ("_l", "_r"), block: int = 2048) -> DataFrame:
     """Join of an input with itself on ``key``: ``full_cross`` all pairs, ``triangle_incl_diag`` pairs with
-    l.order <= r.order, ``triangle_excl_diag`` with l.order < r.order."""
+    l.order <= r.order, ``triangle_excl_diag`` with l.order < r.order.
+
+    Pairs grow with the square of a key's rows. A key of over ``block`` rows is cut into blocks of about so many by a hash of the
+    rows, and each pair of blocks is joined by itself, so a key's pairs are spread over tasks; a row travels once for each block
+    of its key. Sizes of keys are counted first."""
+    sized = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col(key).isNotNull()).select(key, F.ceil(F.col("__n") / block).cast("int").alias("__of"))
+    large = sized.where("__of > 1")
+    pairs = sized.agg(F.sum(F.pow("__of", 2))).first()[0] or 0
     a, b = (df.select([F.col(c).alias(c + s) for c in df.columns]) for s in suffixes)
     (x, y), (kx, ky) = ((order + s for s in suffixes), (key + s for s in suffixes))
     on = F.col(kx) == F.col(ky)
     more = {"full_cross": None, "triangle_incl_diag": F.col(x) <= F.col(y), "triangle_excl_diag": F.col(x) < F.col(y)}[mode]
-    return a.join(b, on if more is None else on & more)
+    if large.isEmpty():
+        return a.join(b, on if more is None else on & more)
+    # a number of partitions that is set is not coalesced by the bytes of the input: the pairs are what a task has to make
+    parts = int(min(max(pairs, df.sparkSession.sparkContext.defaultParallelism), 10_000))
+
+    def cut(side: DataFrame, k: str, suffix: str, own: str, other: str) -> DataFrame:
+        of, plain = F.coalesce("__of", F.lit(1)), [c for c, t in side.dtypes if "map<" not in t]
+        block_of = F.pmod(F.xxhash64(*plain), of).cast("int").alias(own + suffix)
+        rows = side.join(large, F.col(k) == F.col("__key"), "left").select(*side.columns, block_of, F.explode(F.sequence(F.lit(0), of - 1)).alias(other + suffix))
+        return rows.repartition(parts, k, "__i" + suffix, "__j" + suffix)
+
+    large = large.withColumnRenamed(key, "__key")
+    left, right = cut(a, kx, "_a", "__i", "__j"), cut(b, ky, "_b", "__j", "__i")
+    on = on & (F.col("__i_a") == F.col("__i_b")) & (F.col("__j_a") == F.col("__j_b"))
+    return left.join(right, on if more is None else on & more).select(*a.columns, *b.columns)
 
 
 def temp(df: DataFrame) -> DataFrame:

@@ -240,3 +240,14 @@ def test_python_groups_are_not_called_one_by_one(spark, sf_dir, name):
     plan = all_queries()[0][name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan or "PythonMapInArrow" in plan or "MapInArrow" in plan
     assert "FlatMap" not in plan
+
+
+@pytest.mark.parametrize("mode", ["full_cross", "triangle_incl_diag", "triangle_excl_diag"])
+def test_self_match_spreads_large_keys(spark, mode):
+    pairs = [(1, i % 70) for i in range(100)] + [(2, 5), (2, 6), (3, 1), (None, 1)]
+    keep = {"full_cross": lambda x, y: True, "triangle_incl_diag": lambda x, y: x <= y, "triangle_excl_diag": lambda x, y: x < y}[mode]
+    df = O.self_match(kv(spark, pairs), "k", "v", mode, block=10)
+    want = sorted((k, x, k, y) for k, x in pairs for j, y in pairs if k is not None and k == j and keep(x, y))
+    assert sorted(map(tuple, df.collect())) == want
+    busy = df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    assert busy < len(want) / 5
