@@ -149,3 +149,14 @@ def test_pairs_of_groups_are_not_shuffled(spark, events, name):
     plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan
     assert plan.count("Exchange") == (2 if name == "metis_lines" else 0)
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_shortest_paths_of_any_length(spark, events, monkeypatch, limit):
+    monkeypatch.setattr(meetings, "LIMIT", limit)
+    monkeypatch.setattr(meetings, "PATHS", 3)
+    folk = [(i, i + 1) for i in range(7)] + [(0, 20), (20, 3), (3, 21), (21, 5), (2, 3, 4), (40, 41)]
+    folder, c = events(folk)
+    got = QUERIES["shortest_paths"](spark, folder).toPandas()
+    assert got.length.max() > 3
+    assert rows(got) == rows(c.sql(SQL["shortest_paths"]).df())
