@@ -160,3 +160,15 @@ def test_shortest_paths_of_any_length(spark, events, monkeypatch, limit):
     got = QUERIES["shortest_paths"](spark, folder).toPandas()
     assert got.length.max() > 3
     assert rows(got) == rows(c.sql(SQL["shortest_paths"]).df())
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("name", ["triangles", "edge_apexes"])
+def test_triangles_of_groups(spark, events, monkeypatch, name, limit):
+    monkeypatch.setattr(meetings, "LIMIT", limit)
+    monkeypatch.setattr(meetings, "MARKS", 1000)
+    folder, c = events([*CROWDS, *crowds(3, 60, 50, 6)])
+    df = QUERIES[name](spark, folder)
+    assert rows(df.toPandas()) == rows(c.sql(SQL[name]).df())
+    if limit:
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
